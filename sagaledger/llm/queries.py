@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ._frames import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
@@ -24,6 +30,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
