@@ -313,7 +313,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
                     base_labels[i] = ",".join(sorted(named))
                     labels[i] = ",".join(sorted(named | {d.label for d in more}))
                     places[i] = ",".join(f"{d.label}:{d.first}:{d.end}" for d in more)
-                    score[i] = max([d.confidence for d in more] + [0.9] * bool(base))
+                    score[i] = max([d.confidence for d in more] + [0.9] * bool(base), default=0.0)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(labels), pa.array(score), pa.array(places)],
                     names=[c.split()[0] for c in RESULT.split(", ")],
