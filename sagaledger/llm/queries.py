@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ._frames import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import licenses
 
@@ -30,6 +37,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_quality_rules": op9_quality_rules,

@@ -11,7 +11,7 @@ The table and the softmax are trained together by Adagrad.  After training each
 of the two classes' weights, for only that number enters a score: scoring a text is one table look-up per n-gram and
 running sums, over code points, with no Python object per word.
 
-Defined results: a null text counts as an empty one; a text without words has the score of the bias alone; repeated rows
+Defined results: a null text counts as an empty one; a text without words has the score of the median clean text; repeated rows
 are scored one by one; a null doc_id is scored and counted as not held out (null); an empty table gives an empty result;
 columns other than doc_id and text are not read.  Without training rows of both classes every score is 0.
 """
@@ -38,7 +38,9 @@ DECISION = 0.3
 SAMPLE_PER_CLASS = 2500
 
 DIMENSIONS = 12
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
+#: Texts of the sample that a feature must occur in to be learned; a rarer one would only be memorised.
+MIN_TEXTS = 4
 SIZES = (3, 4, 5)
 #: Words in a window, and words from one window to the next.
 WINDOW, STRIDE = 12, 6
@@ -155,14 +157,15 @@ def _windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """What scoring needs: for each bucket the projection of its embedding, and the bias."""
+    """What scoring needs: for each bucket the projection of its embedding, the bias, and the logit of no words at all."""
 
     value: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))
     bias: float = -50.0
+    blank: float = -50.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         points, begin, end, first = _marked(texts)
-        logits = np.full(len(texts), self.bias)
+        logits = np.full(len(texts), self.blank)
         if len(begin):
             run = np.concatenate([[0.0], np.cumsum(_word_sums(points, begin, end, self.value))])
             start, stop, owner = _windows(first)
@@ -182,11 +185,15 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
     table = rng.normal(0, 0.02, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weight = rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
+    words_of = np.repeat(np.arange(len(b.at) - 1), np.diff(b.at))
+    text_of = np.repeat(np.arange(len(texts)), np.diff(b.first))
+    seen = np.unique(text_of[words_of] * np.int64(BUCKETS) + b.features) & (BUCKETS - 1)
+    known = np.bincount(seen, minlength=BUCKETS) >= MIN_TEXTS
+    table[~known] = 0
     slow = [np.full(table.shape[0], 1e-6, np.float32), np.full_like(weight, 1e-6), np.full_like(bias, 1e-6)]
     per_word = np.diff(b.at)
     at = np.flatnonzero(np.diff(np.concatenate([[-1], owner])))
     ends = np.append(at[1:], len(owner))
-    words_of = np.repeat(np.arange(len(per_word)), per_word)
 
     def margins() -> np.ndarray:
         value = table @ (weight[:, 1] - weight[:, 0])
@@ -194,12 +201,15 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
         run = np.concatenate([[0.0], np.cumsum(word)])
         return (run[stop] - run[start]) / (stop - start)
 
+    aside = rng.random(len(at)) < 0.2  # texts that only the cut is chosen with
+    if min(np.bincount(target[owner[at[aside]]], minlength=2)) < 3 or min(np.bincount(target[owner[at[~aside]]], minlength=2)) < 3:
+        aside[:] = False
     size = int(np.clip(len(at) // 16, 8, LOT))
     epochs = int(np.clip(MIN_STEPS * size / (3 * len(at)), EPOCHS, MAX_EPOCHS))
     for epoch in range(epochs):
         margin = margins() + rng.normal(0, 1e-6, len(start))
         chosen, truth = [], []
-        for s, e in zip(at, ends):
+        for s, e in zip(at[~aside], ends[~aside]):
             y = int(target[owner[s]])
             if 4 * epoch < epochs:
                 # Little is known yet: every window of a toxic text may be the one.
@@ -222,6 +232,8 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
             scale = (1.0 / (per_word[word] * many[in_window])).astype(np.float32)
             row = np.repeat(in_window, per_word[word])
             part = np.repeat(scale, per_word[word])
+            use = known[features]
+            features, row, part = features[use], row[use], part[use]
             unique, inverse = np.unique(features, return_inverse=True)
             matrix = np.bincount(row * len(unique) + inverse, weights=part, minlength=len(w) * len(unique)).reshape(len(w), -1).astype(np.float32)
             vector = matrix @ table[unique]
@@ -236,10 +248,12 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
             for k, (what, rate) in enumerate(((weight, 0.1), (bias, 0.1)), 1):
                 slow[k] += down[k] ** 2
                 what -= rate * down[k] / np.sqrt(slow[k])
-    # Where the texts' largest margins separate the classes best decides the bias; the middle of that gap is score one half.
+    # The bias is set where the largest margins of texts that were not learned from separate the classes best.
     margin = margins()
     top = np.maximum.reduceat(margin, at)
     y = target[owner[at]]
+    if aside.any():
+        top, y = top[aside], y[aside]
     order = np.argsort(top)
     wrong = np.cumsum(y[order] == 1) + (y == 0).sum() - np.cumsum(y[order] == 0)
     best = int(np.argmin(wrong))
@@ -250,7 +264,8 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
     cut = (low + high) / 2
     clean = float(np.median(top[y == 0]))
     slope = 4.0 / max(float(cut) - clean, 1e-6)
-    return Model(value * slope, float(np.log(DECISION / (1 - DECISION)) - slope * cut))
+    bias = float(np.log(DECISION / (1 - DECISION)) - slope * cut)
+    return Model(value * slope, bias, bias + slope * clean)
 
 
 def held_out(doc_id: Column) -> Column:
