@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._chain import marginals
 from ._frames import fold_of, labelled_sample
 from ._text import NOT_SPACE, Texts, Words, mix64, span_hashes, steps
 from .rules import SYMBOLS, _lines
@@ -121,37 +122,8 @@ def line_features(texts: Texts) -> Lines:
 
 def _marginals(unary: np.ndarray, first: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of every line, and the expected number of each transition; move holds the transition scores."""
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    begin, size = first[:-1][order], size[order]
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(longest), side="left")  # texts with more than t lines
-    up = np.zeros((len(unary), 2))
-    up[:, 1] = unary
-    ahead, back = np.zeros_like(up), np.zeros_like(up)
-    m = np.exp(move - move.max())
-    for t in range(longest):
-        rows = begin[: live[t]] + t
-        a = up[rows].copy()
-        if t:
-            p = ahead[rows - 1]
-            top = p.max(1, keepdims=True)
-            a += np.log(np.exp(p - top) @ m + 1e-300) + top
-        ahead[rows] = a - a.max(1, keepdims=True)
-    for t in range(longest - 2, -1, -1):
-        rows = begin[: live[t + 1]] + t
-        nxt = back[rows + 1] + up[rows + 1]
-        top = nxt.max(1, keepdims=True)
-        b = np.log(np.exp(nxt - top) @ m.T + 1e-300) + top
-        back[rows] = b - b.max(1, keepdims=True)
-    both = ahead + back
-    good = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
-    head = np.zeros(len(unary), dtype=bool)
-    head[first[:-1][np.diff(first) > 0]] = True
-    to = np.flatnonzero(~head)
-    joint = np.exp(ahead[to - 1])[:, :, None] * m[None] * np.exp(np.clip(back[to] + up[to], -700, 300) - (back[to] + up[to]).max(1, keepdims=True))[:, None, :]
-    joint /= np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)
-    return good, joint.sum(0)
+    both, joint = marginals(np.column_stack([np.zeros(len(unary)), unary]), first, move)
+    return both[:, 1], joint
 
 
 @dataclass

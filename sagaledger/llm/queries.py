@@ -35,6 +35,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secret_scan(docs, secrets.train_on(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rules
 
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_secret_scan": op7_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }
 
