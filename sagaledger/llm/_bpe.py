@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ._text import ranges, steps
 
-#: Words that a worker's cache holds; when it is full it starts anew.
-CACHE_WORDS = 400_000
-STEP_BYTES = 6 << 20
+#: Words that a worker's cache holds; words met after it is full are forgotten with their step.
+CACHE_WORDS = 700_000
+STEP_BYTES = 12 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,94 +43,118 @@ class Encoder:
         self.letters = _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.newline = self.whole("\n")
+        self.space = self.letters[0x20]
+        self.marks = {c: self.whole(c)[0] for c in ".,"}
         self._clear()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
+        #: Slots of words after a space, and of those at the begin of a text or line; -1: only the library can tell.
+        self.after: dict[str, int] = {}
+        self.leading: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, dtype=self.dtype)
         self.begin = np.zeros(1 << 14, dtype=np.int64)
         self.count = np.zeros(1 << 14, dtype=np.int64)
         self.used = self.filled = 0
 
-    def _add(self, ids: list[int]) -> int:
-        n = len(ids)
-        if self.filled + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(n, len(self.pool)), dtype=self.dtype)])
-        if self.used == len(self.begin):
+    def _add_all(self, lists: list[list[int]]) -> int:
+        """Put lists of ids into the pool; the first one's slot."""
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        total, n = int(counts.sum()), len(lists)
+        while self.filled + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.used + n > len(self.begin):
             self.begin, self.count = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.count, np.zeros_like(self.count)])
-        self.pool[self.filled : self.filled + n] = ids
-        self.begin[self.used], self.count[self.used] = self.filled, n
-        self.filled += n
-        self.used += 1
-        return self.used - 1
+        self.pool[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(lists), self.dtype, total)
+        slot = self.used
+        self.begin[slot : slot + n] = self.filled + np.cumsum(counts) - counts
+        self.count[slot : slot + n] = counts
+        self.filled += total
+        self.used += n
+        return slot
 
     def _piece(self, word: str, lead: str) -> list[int]:
         """Ids of a word that stands after a space (lead " ") or at a text's or line's begin (lead "")."""
+        if word.isalpha() and max(word) < "ɐ":
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return [t.id for t in self.tokenizer.model.tokenize(self.space + shown if lead else shown)]
+        if word[-1] in ".," and word[:-1].isalpha():
+            return [*self._ids(word[:-1], lead), self.marks[word[-1]]]
         if "\n" in word:
             parts = word.split("\n")
             if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-                out = self._ids(parts[0], lead)
+                out = list(self._ids(parts[0], lead))
                 for p in parts[1:]:
-                    out = out + self.newline + self._ids(p, "")
+                    out += self.newline
+                    out += self._ids(p, "")
                 return out
-            return self.whole(lead + word)
-        if word.isalpha() and max(word) < "ɐ":
-            shown = word.encode().decode("latin-1").translate(self.letters)
-            return [t.id for t in self.tokenizer.model.tokenize(self.letters[0x20] + shown if lead else shown)]
-        if word[-1] in ".," and word[:-1].isalpha():
-            return self._ids(word[:-1], lead) + self.whole(word[-1])
         return self.whole(lead + word)
 
     def _ids(self, word: str, lead: str) -> list[int]:
-        slot = self.slots.get(lead + word)
-        if slot is None:
-            slot = self.slots[lead + word] = self._add(self._piece(word, lead))
-        return self.pool[self.begin[slot] : self.begin[slot] + self.count[slot]].tolist()
-
-    def _slot(self, word: str, lead: str) -> int:
-        """The cache's slot of a word; -1 if the text has to be encoded whole."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return -1
-        key = lead + word
-        slot = self.slots.get(key)
-        if slot is None:
-            slot = self.slots[key] = self._add(self._piece(word, lead))
-        return slot
+        slot = (self.after if lead else self.leading).get(word, -1)
+        return self._piece(word, lead) if slot < 0 else self.pool[self.begin[slot] : self.begin[slot] + self.count[slot]].tolist()
+
+    def _slots(self, words: list[str], lead: str) -> tuple[np.ndarray, list[str]]:
+        """The slots of distinct words, and those that are new."""
+        have = self.after if lead else self.leading
+        out = list(map(have.get, words))
+        at = [i for i, s in enumerate(out) if s is None]
+        new = [words[i] for i in at]
+        clean = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        slot = self._add_all([self._piece(w, lead) for w in clean])
+        have.update(dict.fromkeys(new, -1))
+        have.update(zip(clean, range(slot, slot + len(clean))))
+        for i, w in zip(at, new):
+            out[i] = have[w]
+        return np.array(out, dtype=np.int64), new
 
     def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text's); end_id is put after each text.  A null is an empty text."""
-        if self.used > CACHE_WORDS:
-            self._clear()
         column = pc.fill_null(column.cast(pa.large_string()), "")
         lists = pc.split_pattern(column, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
-        words = lists.flatten().dictionary_encode()
-        codes = words.indices.to_numpy()
-        known = np.array([self._slot(w, " ") for w in words.dictionary.to_pylist()] or [0], dtype=np.int64)
-        slots = known[codes]
-        heads = offsets[:-1]
-        for i, w in zip(heads.tolist(), words.dictionary.take(words.indices.take(pa.array(heads))).to_pylist()):
-            slots[i] = self._slot(w, "")
-        sizes = np.diff(offsets)
-        odd = np.unique(np.repeat(np.arange(len(sizes)), sizes)[slots < 0])
         mark = self.used, self.filled
+        words = lists.flatten().dictionary_encode()
+        known, new = self._slots(words.dictionary.to_pylist(), " ")
+        slots = known[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        heads = words.take(pa.array(offsets[:-1])).cast(pa.large_string()).dictionary_encode() if len(words) else None
+        new_heads: list[str] = []
+        if heads is not None:
+            first, new_heads = self._slots(heads.dictionary.to_pylist(), "")
+            slots[offsets[:-1]] = first[heads.indices.to_numpy()]
+        if self.used <= CACHE_WORDS:
+            mark = self.used, self.filled
+            new, new_heads = [], []
+        odd = np.unique(np.searchsorted(offsets, np.flatnonzero(slots < 0), side="right") - 1)
         if len(odd):
-            for i, text in zip(odd.tolist(), column.take(pa.array(odd)).to_pylist()):
+            extra = self._add_all([self.whole(t) for t in column.take(pa.array(odd)).to_pylist()])
+            for k, i in enumerate(odd.tolist()):
                 # The whole text stands in its first word's place; its other words have no ids.
                 slots[offsets[i] : offsets[i + 1]] = -1
-                slots[offsets[i]] = self._add(self.whole(text))
+                slots[offsets[i]] = extra + k
         count = np.where(slots < 0, 0, self.count[slots])
-        each = np.concatenate([[0], np.cumsum(count)])
-        ids = self.pool[ranges(self.begin[slots], count)]
-        self.used, self.filled = mark
-        at = each[offsets]
+        at = np.concatenate([[0], np.cumsum(count)])[offsets]
+        begin = self.begin[slots]
         if end_id is not None:
-            ids = np.insert(ids, at[1:], end_id).astype(self.dtype)
-            at = at + np.arange(len(at))
+            # an end id is one more place after each text's last word
+            n = len(offsets) - 1
+            slot = self._add_all([[end_id]])
+            ends = offsets[1:] + np.arange(n)
+            most = np.ones(len(count) + n, dtype=bool)
+            most[ends] = False
+            all_count, all_begin = np.ones(len(most), np.int64), np.full(len(most), self.begin[slot])
+            all_count[most], all_begin[most] = count, begin
+            count, begin, at = all_count, all_begin, at + np.arange(n + 1)
+        ids = self.pool[ranges(begin, count)]
+        # What was added beyond the cache's size is forgotten, so that the frequent words, which came early, stay.
+        self.used, self.filled = mark
+        for w in new:
+            del self.after[w]
+        for w in new_heads:
+            del self.leading[w]
         return ids, at
 
 

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ._frames import table
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -42,6 +49,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(docs, secrets.train_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack_pieces(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rules
 
@@ -56,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
+    "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
