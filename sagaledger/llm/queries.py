@@ -29,6 +29,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokens
+
+    return tokens.read_ids(tokens.write_ids(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
@@ -66,6 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
+    "op3_token_files": op3_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
