@@ -96,13 +96,17 @@ class Encoder:
         slot = (self.after if lead else self.leading).get(word, -1)
         return self._piece(word, lead) if slot < 0 else self.pool[self.begin[slot] : self.begin[slot] + self.count[slot]].tolist()
 
+    def _clean(self, word: str) -> bool:
+        """Whether a word's borders are borders of the library's pre-tokenizer too."""
+        return bool(word) and not word[0].isspace() and not word[-1].isspace()
+
     def _slots(self, words: list[str], lead: str) -> tuple[np.ndarray, list[str]]:
         """The slots of distinct words, and those that are new."""
         have = self.after if lead else self.leading
         out = list(map(have.get, words))
         at = [i for i, s in enumerate(out) if s is None]
         new = [words[i] for i in at]
-        clean = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        clean = [w for w in new if self._clean(w)]
         slot = self._add_all([self._piece(w, lead) for w in clean])
         have.update(dict.fromkeys(new, -1))
         have.update(zip(clean, range(slot, slot + len(clean))))

@@ -35,6 +35,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_ids(tokens.write_ids(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
+    "op4_sentence_pieces": op4_sentence_pieces,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
