@@ -21,12 +21,18 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog  # noqa: F401  registers its queries
+
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
+    from . import catalog  # noqa: F401
+
     return _ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    from . import catalog
+
+    return catalog.recall(spark, sf_dir)
