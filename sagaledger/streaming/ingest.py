@@ -60,7 +60,8 @@ def acceptance(messages: DataFrame) -> DataFrame:
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Events per type and tumbling window of event time; a window closes when the watermark has passed it."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time with a zone
+    return timed.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def newly_eligible(before: DataFrame, now: DataFrame, by: list[str]) -> DataFrame:
