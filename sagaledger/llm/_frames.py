@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -73,5 +72,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Co
     return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "target")
 
 
-def has_file_scheme(path: str) -> bool:
-    return os.path.isabs(path) or path.startswith("file:")
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df does not have, whatever case Spark compares names in."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name

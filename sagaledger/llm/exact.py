@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import discard, stored
+from ._frames import discard, stored, unused_name
 
 #: Bytes in a block.
 BLOCK_BYTES = 4096
@@ -142,8 +142,13 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int = 6
 
 
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    keep = groups(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    rows = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    met = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    return rows.join(keep, met, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of docs that stay, with all their columns.
+
+    Kept rows are known by doc_id and text; of rows that share both, the last step leaves one.  It needs no shuffle of its
+    own, for the join has brought them together.
+    """
+    sha = unused_name(docs, "sha")
+    keep = groups(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    rows = docs.withColumn(sha, F.sha2(normalised(docs["text"]), 256))
+    met = rows["doc_id"].cast("bigint").eqNullSafe(keep["keep_id"]) & (rows[sha] == keep["keep_sha"])
+    return rows.join(keep, met, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
