@@ -104,7 +104,7 @@ def change_text(before: Column, after: Column) -> Column:
     whole = r"^\s*([+-]?\d{1,3}(?:,\d{3})+|[+-]?\d+)\s*$"
     part = r"^\s*([+-]?[\d,]+)\s*/\s*([+-]?[\d,]+)\s*$"
     num = lambda c, p, g: F.regexp_replace(F.regexp_extract(c, p, g), ",", "").try_cast("bigint")
-    items = lambda c: F.transform(F.split(c, r" / |, "), F.trim)
+    items = lambda c: F.transform(F.split(c, r" / |, "), lambda x: F.trim(x))
     listed = lambda c: F.size(items(c)) >= 3
     top, most = signed(num(after, part, 1) - num(before, part, 1)), num(after, part, 2) - num(before, part, 2)
     more = F.transform(F.array_except(items(after), items(before)), lambda x: F.concat(F.lit("+"), x))

@@ -127,7 +127,7 @@ def quoted_in(quote: Column, shown: Column, least: float = 0.7, chars: int = 12)
     """Whether evidence stands in what was shown: by trigrams, each piece of a quote with an ellipsis; short ones as they are."""
     from ..functions.text import containment, grams
 
-    pieces = F.filter(F.transform(F.split(quote, r"\.{3}|…"), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(quote, r"\.{3}|…"), lambda x: F.trim(x)), lambda p: p != "")
     one = lambda p: F.when(F.length(p) >= chars, containment(grams(p), grams(shown)) >= least).otherwise(F.contains(F.lower(shown), F.lower(p)))
     return (F.size(pieces) > 0) & F.forall(pieces, one)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import coverage, entities, folds, ledger, packing, retrieval, serving, state, views
+from ..operators import coverage, entities, folds, ledger, memory, packing, retrieval, serving, state, views
 from ..sources.tables import messages, table
 from .registry import Query, register
 
@@ -688,3 +688,40 @@ def session_windows(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts")
     gap = F.lag("ts").over(w).isNull() | (F.col("ts") > F.lag("ts").over(w) + F.expr("INTERVAL 6 HOURS"))
     return e.withColumn("o", gap.cast("int")).groupBy("user_id").agg(F.sum("o").alias("sessions"))
+
+
+@query("o110_canon_in_force", "SELECT lang AS conv_id, doc_id AS key FROM documents WHERE lang = 'en' OR doc_id IN (SELECT doc_id FROM labels)")
+def canon_in_force(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    entries = d.select(F.col("lang").alias("conv_id"), F.col("doc_id").alias("key"), F.when(F.col("lang") == "en", "card").otherwise("lore").alias("kind"), F.col("source").alias("hash"))
+    seen = d.select(F.col("lang").alias("conv_id"), F.col("doc_id").alias("key")).join(table(spark, sf, "labels").select(F.col("doc_id").alias("key")), "key")
+    return memory.canon_in_force(entries, seen).select("conv_id", "key")
+
+
+@query("o120_stale_summaries", """SELECT o_custkey AS conv_id, o_orderkey AS "window" FROM orders s WHERE EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = s.o_custkey AND x.o_orderstatus = 'F' AND x.o_orderkey <= s.o_orderkey AND x.o_orderdate > s.o_orderdate)""")
+def stale_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("window"), F.col("o_orderkey").alias("last_turn"), F.col("o_orderdate").alias("created_at"), "o_orderstatus")
+    return memory.stale_summaries(o, o.filter("o_orderstatus = 'F'").select("conv_id", F.col("window").alias("turn"), "created_at"))
+
+
+@query("o109_unchecked_reveals", """SELECT e.user_id AS conv_id, e.event_id AS turn FROM events e WHERE e.ts < (SELECT max(x.ts + INTERVAL 1 DAY) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.event_id < e.event_id)""")
+def unchecked_reveals(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.col("ts").cast("timestamp").alias("extracted_at"), F.col("ts").cast("timestamp").alias("created_at"), "event_type")
+    return memory.unchecked_reveals(e, e.filter("event_type = 'error'").withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY")), e.limit(0))
+
+
+@query("o124_canon_as_of", "SELECT user_id AS conv_id, arg_max(event_id, (ts, event_id)) AS entries FROM events WHERE ts <= TIMESTAMP '2024-01-15' GROUP BY 1")
+def canon_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    applied = table(spark, sf, "events").groupBy("user_id", "ts").agg(F.max("event_id").alias("entries")).select(F.col("user_id").alias("conv_id"), "entries", F.col("ts").alias("applied_at"))
+    return ledger.canon_as_of(applied, F.lit("2024-01-15").cast("timestamp_ntz"))
+
+
+@query("o85_scene_cast", """WITH l AS (SELECT user_id, max(event_id) AS last FROM events GROUP BY 1) SELECT DISTINCT user_id AS conv_id, event_type AS name FROM events JOIN l USING (user_id) WHERE event_id > last - 300""")
+def scene_cast(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("user_id").alias("conv_id"), F.col("event_type").alias("name"), F.col("event_id").alias("turn"))
+    return retrieval.cast_of(e, e, 300)
+
+
+@query("o101_capped_timeline", """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE n <= 3""")
+def capped_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    return views.capped(table(spark, sf, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey")
