@@ -240,7 +240,7 @@ SELECT o_custkey, o_orderkey, chosen FROM c WHERE k = chosen""")
 def generation_choice(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").withColumn("generation", F.col("o_orderpriority"))
     g = o.groupBy("generation").agg(F.max("o_orderdate").alias("activated_at"))
-    return serving.chosen_generation(o.join(F.broadcast(g), "generation"), "1-URGENT", ["o_custkey"]).select("o_custkey", "o_orderkey", "chosen")
+    return serving.chosen_generation(o.join(g, "generation"), "1-URGENT", ["o_custkey"]).select("o_custkey", "o_orderkey", "chosen")
 
 
 @query("o63_owner_overlay", """WITH l AS (SELECT doc_id, quality, toxic FROM labels)
@@ -488,8 +488,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_
 SELECT query_id, vec_id, round(sim, 4) AS sim FROM r WHERE rank <= 10""")
 def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    # Queries are a stated set (every id that 20 divides); they go out in blocks of bounded size.
-    queries = [(r.vec_id, list(r.embedding)) for r in v.filter("vec_id % 20 = 0").sort("vec_id").toLocalIterator()]
+    queries = v.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")  # a stated query set, against all rows
     return retrieval.nearest(v, queries, 10, "vec_id").select("query_id", "vec_id", F.round("sim", 4).alias("sim"))
 
 
@@ -620,7 +619,7 @@ def fact_spans(spark: SparkSession, sf: str) -> DataFrame:
 def _ties(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of orders as ties between parts and suppliers, by the region of the supplier."""
     l, s, n = table(spark, sf, "lineitem"), table(spark, sf, "supplier"), table(spark, sf, "nation")
-    j = l.join(s, l.l_suppkey == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    j = l.join(s, l.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
     return j.select(F.col("n_regionkey").alias("conv_id"), F.concat(F.lit("s"), "l_suppkey").alias("subject"), F.concat(F.lit("q"), F.col("l_quantity").cast("int")).alias("object"),
         F.when(F.col("l_linestatus") == "F", -1).otherwise(1).alias("turn"), F.col("l_returnflag").alias("value"))
 

@@ -49,13 +49,17 @@ def test_fusion_abstains_without_a_strong_signal(spark):
     assert {r.request_id for r in retrieval.fuse({"x": weak, "y": weak}).collect()} == {2}
 
 
-def test_nearest_equals_brute_force(spark):
+def test_nearest_equals_brute_force(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
     v = spark.createDataFrame([(i, [float(k) for k in row]) for i, row in enumerate(x)] + [(900, [0.0] * 8), (901, [1.0])], "rev_id bigint, embedding array<double>")
-    got = retrieval.nearest(v, [(i, x[i].tolist()) for i in range(0, 300, 20)], 5).collect()
+    asked = v.filter("rev_id % 20 = 0 and rev_id < 300").withColumnRenamed("rev_id", "query_id")
+    got = retrieval.nearest(v, asked, 5).collect()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    plain = lambda rows: sorted((r.query_id, r["rank"], r.rev_id, round(r.sim, 9)) for r in rows)
+    assert plain(retrieval.nearest(v, asked, 5).collect()) == plain(got)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     for i in range(0, 300, 20):
         assert [r.rev_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == np.argsort(-(unit @ unit[i]), kind="stable")[:5].tolist()
