@@ -59,7 +59,7 @@ def _ranked(contents: DataFrame, shared: DataFrame) -> DataFrame:
     return contents.join(ranks, ["bucket", "content"], "left").select("row_id", "pos", "bucket", F.coalesce("rank", F.lit(1)).alias("rank"))
 
 
-def _with_names(rows: DataFrame, contents: DataFrame, guess: DataFrame, first: bool) -> DataFrame:
+def _with_names(rows: DataFrame, contents: DataFrame, guess: DataFrame) -> DataFrame:
     """rows with the names of their contents in order.
 
     guess has the names for the case that no bucket is shared, computed inside each row; where one is, names with ranks
@@ -87,16 +87,13 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int
     name = lambda b: F.struct(_bucket(b, bits=bucket_bits).alias("bucket"), F.lit(1).alias("rank"))
     slim = rows.select("row_id", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.transform(blocks, name).alias("names"))
     base = stored(slim, "names")
-    if bucket_bits == 64:
-        each = rows.select(F.explode(blocks).alias("content"))
-    else:  # a shared bucket is then the rule, and the rows need their positions
-        each = rows.select("row_id", F.posexplode(blocks).alias("pos", "content"))
+    each = rows.select(F.explode(blocks).alias("content"))
     each = each.withColumn("bucket", _bucket(F.col("content"), bits=bucket_bits))
     if not shared_buckets(each).isEmpty():
         # Positions must belong to the stored row_ids, so the texts are stored with them.
         full = stored(rows, "rows")
         contents = full.select("row_id", F.posexplode(blocks).alias("pos", "content")).withColumn("bucket", _bucket(F.col("content"), bits=bucket_bits))
-        fixed = _with_names(full.select("row_id", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha")), contents, full, True)
+        fixed = _with_names(full.select("row_id", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha")), contents, full)
         discard(base)
         base = stored(fixed.select("row_id", "doc_id", "sha", "names"), "names")
         discard(full)
@@ -114,7 +111,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int
         number = lambda p: _bucket(p["left"]["bucket"], p["left"]["rank"], p["right"]["bucket"], p["right"]["rank"], bits=bucket_bits)
         contents = more.select("row_id", F.posexplode("pairs").alias("pos", "content")).withColumn("bucket", number(F.col("content")))
         guess = more.withColumn("names", F.transform("pairs", lambda p: F.struct(number(p).alias("bucket"), F.lit(1).alias("rank")))).drop("pairs")
-        state = stored(_with_names(more.drop("pairs"), contents, guess, False).select("row_id", "doc_id", "sha", "names"), "names")
+        state = stored(_with_names(more.drop("pairs"), contents, guess).select("row_id", "doc_id", "sha", "names"), "names")
         level += 1
     out = done[0]
     for more in done[1:]:
