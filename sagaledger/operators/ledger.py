@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._grouped import fold_groups
+
 
 
 def _off(disabled: Column) -> Column:
@@ -222,16 +224,11 @@ def replayed(members: list[str], ops: list[dict]) -> list[str]:
 def membership_of(ops: DataFrame) -> DataFrame:
     """(conv_id, position, member) rebuilt from ops (conv_id, seq, op, member, to, after, members), one conversation a group."""
 
-    def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq").to_dict("records")
-        for r in rows:
-            for key in ("after", "member", "to"):
-                r[key] = None if r[key] is None or r[key] != r[key] else r[key]
-        out = replayed([], rows)
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], "position": range(len(out)), "member": out})
+    def fold(key: tuple, group: list[dict]) -> list[dict]:
+        return [{"conv_id": key[0], "position": i, "member": m} for i, m in enumerate(replayed([], group))]
 
     kind = dict(ops.dtypes)["conv_id"]
-    return ops.groupBy("conv_id").applyInPandas(rebuild, f"conv_id {kind}, position int, member string")
+    return fold_groups(ops, ["conv_id"], ["seq"], fold, f"conv_id {kind}, position int, member string")
 
 
 def prefix_intact(commits: DataFrame, heads: DataFrame, upto: int, depth: int = 10_000) -> DataFrame:

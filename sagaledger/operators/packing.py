@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._grouped import fold_groups
+
 #: Tokens that a character outside ASCII counts as, by policy; features that policies switch on, cumulatively.
 POLICIES = {f"v{i}": {"non_ascii": 1.5 if i < 2 else 1.2, "reserve": i >= 1, "private": i >= 3, "restate": i >= 4, "story": i >= 8, "labels": i >= 17} for i in range(20)}
 DEFAULT_POLICY = "v19"
@@ -100,13 +101,11 @@ def pack(lines: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """(request_id, n, kind, ref, tok, placed, why) for lines (request_id, n, budget, kind, ref, text, head, private)."""
     kind = dict(lines.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("n").to_dict("records")
-        found = pack_lines(rows, int(rows[0]["budget"]), policy)
-        return pd.DataFrame({"request_id": [r["request_id"] for r in rows], "n": [r["n"] for r in rows], "kind": [r["kind"] for r in rows], "ref": [r["ref"] for r in rows],
-                             "tok": [e.tok for e in found], "placed": [e.placed for e in found], "why": [e.why for e in found]})
+    def fold(key: tuple, group: list[dict]) -> list[dict]:
+        found = pack_lines(group, group[0]["budget"], policy)
+        return [{"request_id": key[0], "n": r["n"], "kind": r["kind"], "ref": r["ref"], "tok": e.tok, "placed": e.placed, "why": e.why} for r, e in zip(group, found)]
 
-    return lines.groupBy("request_id").applyInPandas(run, f"request_id {kind['request_id']}, n int, kind string, ref {kind['ref']}, tok int, placed boolean, why string")
+    return fold_groups(lines, ["request_id"], ["n"], fold, f"request_id {kind['request_id']}, n int, kind string, ref {kind['ref']}, tok int, placed boolean, why string")
 
 
 def prefix_fit(lines: DataFrame, by: list[str], order: list[str], cost: str, budget: str) -> DataFrame:
