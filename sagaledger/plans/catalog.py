@@ -448,10 +448,11 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The latest user message of every conversation as a request, against the messages before it."""
+    """The latest user message of every conversation as a request with the reply before it, against the messages before it."""
     m = messages(spark, sf)
     last = m.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "position").alias("query"), F.max("position").alias("upto"))
-    requests = last.select(F.col("conv_id").alias("request_id"), "conv_id", "query", "upto")
+    replies = m.filter("role = 'assistant'").join(last.select("conv_id", "upto"), "conv_id").filter("position < upto").groupBy("conv_id").agg(F.max_by("text", "position").alias("reply"))
+    requests = last.join(replies, "conv_id", "left").select(F.col("conv_id").alias("request_id"), "conv_id", "query", "upto", "reply")
     return requests, m.join(last.select("conv_id", "upto"), "conv_id").filter("position < upto").select("conv_id", "rev_id", "position", "text")
 
 
@@ -468,13 +469,19 @@ k AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM s WHERE score >=
 @query("o73_lexical", REQUESTS + "SELECT conv_id AS request_id, conv_id || ':' || turn AS rev_id, round(score, 6) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn DESC) AS rank FROM k WHERE n <= 200")
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
     requests, corpus = _requests(spark, sf)
-    return retrieval.lexical(requests, corpus).select("request_id", "rev_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+    return retrieval.lexical_index(requests, corpus).select("request_id", "rev_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
 @query("o52_broad_abstains", REQUESTS + "SELECT conv_id AS request_id, count(*) AS hits FROM k WHERE n <= 3 GROUP BY 1")
 def broad_abstains(spark: SparkSession, sf: str) -> DataFrame:
     requests, corpus = _requests(spark, sf)
-    return retrieval.lexical(requests, corpus, broad=3).groupBy("request_id").agg(F.count(F.lit(1)).alias("hits"))
+    return retrieval.lexical_index(requests, corpus, broad=3).groupBy("request_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("o73_word_similarity")
+def word_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    requests, corpus = _requests(spark, sf)
+    return retrieval.lexical(requests, corpus).select("request_id", "rev_id", F.round("user_score", 6).alias("user_score"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
 @query("o75_keyword_route")
@@ -499,7 +506,7 @@ SELECT conv_id AS request_id, conv_id || ':' || turn AS rev_id, round(sum(1.0 /
 def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     requests, corpus = _requests(spark, sf)
     late = requests.select("request_id", "conv_id").join(corpus, "conv_id").withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("position"))))
-    fused = retrieval.fuse({"lexical": retrieval.lexical(requests, corpus).withColumn("strong", F.lit(True)), "late": late.withColumn("strong", F.lit(False))})
+    fused = retrieval.fuse({"lexical": retrieval.lexical_index(requests, corpus).withColumn("strong", F.lit(True)), "late": late.withColumn("strong", F.lit(False))})
     return fused.select("request_id", "rev_id", F.round("rrf", 8).alias("rrf"))
 
 
@@ -512,7 +519,7 @@ def quote_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query("o87_excerpts")
 def excerpts(spark: SparkSession, sf: str) -> DataFrame:
     requests, corpus = _requests(spark, sf)
-    rows = retrieval.lexical(requests, corpus).join(corpus, ["rev_id", "position"]).join(requests.drop("conv_id", "upto"), "request_id")
+    rows = retrieval.lexical(requests, corpus).join(corpus, ["rev_id", "position"]).join(requests.select("request_id", "query"), "request_id")
     return rows.select("request_id", "rev_id", retrieval.excerpt("text", "query", fx.keywords("query")).alias("excerpt"))
 
 
