@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -66,3 +67,16 @@ def test_scattered_trigrams_match_nothing_and_make_no_request_broad(spark):
     corpus = spark.createDataFrame([("c", f"r{i}", i, long) for i in range(5)] + [("c", "hit", 9, "so the dragon sleeps under hills")], CORPUS)
     asked = spark.createDataFrame([(1, "c", "dragon sleeps under hills", None)], "request_id int, conv_id string, query string, reply string")
     assert [r.rev_id for r in retrieval.lexical(asked, corpus, broad=3).collect()] == ["hit"]
+
+
+def test_keywords_match_by_the_exact_measure_and_count_every_match(spark):
+    texts = ["two dragons came", "dragonflies over the lake", "a dragon", "dragged on", "nothing here", "nor here", "a keeper", "still nothing"]
+    corpus = spark.createDataFrame([("c", f"r{i}", i, t) for i, t in enumerate(texts)], CORPUS)
+    asked = spark.createDataFrame([(1, "c", "where did the dragon go")], "request_id int, conv_id string, query string")
+    found = {i for i, t in enumerate(texts) if similarity("dragon", t) >= 0.8}
+    assert found == {0, 1, 2}
+    got = {(r.rev_id, r.keyword_score) for r in retrieval.keyword_route(asked, corpus).collect()}
+    assert got == {(f"r{i}", round(math.log(len(texts) / len(found)), 4)) for i in found}
+    # With two more matches the word is in more than half of the chat and counts for nothing.
+    more = spark.createDataFrame([("c", "x", 20, "dragons"), ("c", "y", 21, "dragonfly"), ("c", "z", 22, "dragoon and dragons")], CORPUS)
+    assert retrieval.keyword_route(asked, corpus.unionByName(more)).collect() == []
