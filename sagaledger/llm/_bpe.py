@@ -3,7 +3,8 @@
 The pre-tokenizer of such a vocabulary always cuts before a single space between two other characters, and around a single
 newline between two other characters.  A text is therefore split at its single spaces; equal words share one encoding, and
 only words that the worker has not met go to the library.  A text in which a space has white space or nothing beside it is
-encoded whole by the library.  The ids are those of ``encode(text, add_special_tokens=False)``.
+encoded whole by the library.  The ids are those of ``encode(text, add_special_tokens=False)`` of a tokenizer whose
+``encode_special_tokens`` is set: a text that spells a special token, such as <|endoftext|>, gets the ids of its characters.
 """
 
 from __future__ import annotations

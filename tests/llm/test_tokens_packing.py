@@ -91,3 +91,15 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert packing.pack_pieces(empty, PATH).collect() == []
     assert tokens.read_ids(tokens.write_ids(empty, PATH)).collect() == []
+
+
+def test_only_spelled_special_tokens_differ_from_the_default_call():
+    from tokenizers import Tokenizer
+
+    plain, made = Tokenizer.from_file(PATH), _bpe.Encoder(PATH)
+    column = [t for t in ODD + texts() if t]
+    ids, at = made.encode(pa.array(column, pa.string()))
+    differ = {t for i, t in enumerate(column) if ids[at[i] : at[i + 1]].tolist() != plain.encode(t, add_special_tokens=False).ids}
+    assert differ == {t for t in column if "<|endoftext|>" in t} and len(differ) > 1
+    marker = plain.token_to_id("<|endoftext|>")
+    assert marker is not None and marker not in made.encode(pa.array(["ab <|endoftext|> cd"]))[0].tolist()
