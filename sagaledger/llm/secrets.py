@@ -2,7 +2,8 @@
 
 The base patterns (assignments, access ids, long hexadecimal runs) are matched exactly and always reported.  The field
 tags each word as begin, inside or outside of a secret, from the shape of the word, the words beside it and features of
-the whole text; Viterbi decodes the tags.  Spans that it finds beside the base ones are added with kind ``other``.
+the whole text; Viterbi decodes the tags.  What it finds outside of the base
+spans is added with kind ``other``; of a span that they cover in part, the parts outside of them are added.
 
 No table labels secrets, so the field learns from a bounded sample of texts: words inside base matches are secrets, all
 others are not, and made-up secrets of other forms and made-up things that only look alike (addresses, dates, numbers,
@@ -337,6 +338,18 @@ def _gated(texts: Texts) -> np.ndarray:
     return gate
 
 
+def _outside(raw: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a found span outside of the base ones, which are sorted by start; no white space at their edges, and none
+    of white space, quotes, brackets and the like alone."""
+    parts, at = [], 0
+    for a, b in [*base, (len(raw), len(raw))]:
+        part = raw[at : max(a, at)]
+        if part.strip(_STRIP + " \t\n\v\f\r"):
+            parts.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip())))
+        at = max(at, b)
+    return parts
+
+
 def scan(texts: Texts, tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, kind, end), base ones and added ones, in code points."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
@@ -359,9 +372,7 @@ def scan(texts: Texts, tagger: Tagger) -> list[list[tuple[int, int, int]]]:
             s += len(raw) - len(raw.lstrip(_STRIP))
             raw = raw.strip(_STRIP)
             begin = int(np.count_nonzero(LEADING[data[offsets[i] : s]]))
-            span = (begin, 3, begin + len(raw))
-            if raw and not any(a < span[2] and span[0] < b for a, kind, b in out[i] if kind < 3):
-                out[i].append(span)
+            out[i] += [(begin + a, 3, begin + b) for a, b in _outside(raw, [(a - begin, b - begin) for a, kind, b in out[i] if kind < 3])]
             k = j
     for spans in out:
         spans.sort()
@@ -403,7 +414,7 @@ def redact(docs: DataFrame, tagger: Tagger, mark: str = "[secret]") -> DataFrame
                     text, out, at = new[a + i], [], 0
                     for s, _, e in spans:
                         if e > at:
-                            out += [text[at:s], mark] if s >= at else []
+                            out += [text[at:s], mark] if s > at or not out else []
                             at = e
                     new[a + i] = "".join(out) + text[at:]
             columns = list(batch.columns)

@@ -61,6 +61,33 @@ def test_the_field_adds_what_no_pattern_has(tagger):
     assert spans == []
 
 
+def marked(words, begins, inside):
+    """A tagger that calls chosen words secrets: begin for those of the first list, inside for those of the second."""
+
+    class Marked:  # in here so that it goes to the workers by value
+        tags = np.array([1 if w in begins else 2 if w in inside else 0 for w in words], np.int8)
+
+        def tagged(self, x, first):
+            return self.tags
+
+    return Marked()
+
+
+@pytest.mark.parametrize("text, begins, inside, added, redacted", [
+    ("see password: abc123!$xyz9Q now", ["abc123!$xyz9Q"], [], ["!$xyz9Q"], "see [secret] now"),
+    ("key Zx9/aa q0123456789abcdef01234567z+Yw ok9= end", ["Zx9/aa"], ["q0123456789abcdef01234567z+Yw", "ok9="], ["Zx9/aa q", "z+Yw ok9="], "key [secret] end"),
+    ('x {"token":"abcdefgh","secret":"ijklmnop"} y', ['{"token":"abcdefgh","secret":"ijklmnop"}'], [], [], 'x {"[secret]","[secret]"} y'),
+    ("password: abcdefgh, and", ["abcdefgh,"], [], [], "[secret], and"),
+])
+def test_what_reaches_beyond_base_spans_is_added_and_redacted(spark, text, begins, inside, added, redacted):
+    fake = marked(text.split(), begins, inside)
+    (spans,) = [S.scan(t, fake)[0] for _, _, t in steps(pa.array([text]))]
+    assert [text[s:e] for s, k, e in spans if k == 3] == added
+    assert [x for x in spans if x[1] < 3] == brute(text)
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert S.redact(docs, fake).first().text == redacted
+
+
 def test_redaction_keeps_rows_and_the_rest_of_the_text(spark, tagger):
     docs = table(spark).unionByName(spark.createDataFrame([(999, SAMPLES[0], "en", "s", 5, *["x", 1, "x", "x", "x", "x", "x"])], SCHEMA))
     out = S.redact(docs, tagger)
