@@ -50,21 +50,30 @@ ALPHANUMERIC = np.zeros(256, dtype=bool)
 ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x41:0x5B] = True
 ALPHANUMERIC[0x80:] = True
 
+#: Powers that a worker keeps; the powers for a longer text are made for it alone.
+_KEPT_POWERS = 4 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(which: str, n: int) -> np.ndarray:
-    """The first n powers of the base or of its inverse modulo 2**64, kept by the worker."""
+    """The first n powers of the base or of its inverse modulo 2**64, kept by the worker up to a bound."""
     have = _powers.get(which)
     if have is None or len(have) < n:
         base = _BASE if which == "up" else _INVERSE
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        have = _powers[which] = out
+        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        have[0] = 1
+        np.multiply.accumulate(have, out=have)
+        if len(have) <= _KEPT_POWERS:
+            _powers[which] = have
     return have[:n]
 
 
+def release() -> None:
+    """Give back to the system what Arrow's pool and this module hold; called at the end of a task, for workers are reused."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Texts:
     """A slice of texts as bytes: data, and offsets of len(texts) + 1 from 0."""
 

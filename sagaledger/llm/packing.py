@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._bpe import part_bases, staged_ids
 from ._frames import stored
-from ._text import buffers
+from ._text import buffers, release
 
 #: Tokens in a sequence, and the id after each document.
 SEQUENCE, END_ID = 2048, 1
@@ -62,6 +62,7 @@ def _cut(staged: DataFrame, sequence: int, with_ids: bool) -> DataFrame:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(high - low)]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return staged.mapInArrow(run, schema)
 

@@ -8,9 +8,9 @@ Format of a block (little-endian): magic ``SLT1``; unsigned 32-bit counts of doc
 unsigned 64-bit count of ids; unsigned 32-bit crc32 of the ids as unsigned 32-bit integers; per document its id (signed
 64-bit), a byte that is 1 where the id is null, and its number of ids (unsigned 32-bit); the lanes' states (unsigned
 64-bit); per checkpoint the step and the words read before it (unsigned 32-bit each) and the lanes' states; the words.
-A reader can start at any checkpoint, so one block can be decoded by several readers.  Blocks lie in a table with their
-shard and the ids before them there, and the frequency table lies beside it, so that any store that Spark reaches can
-hold them.
+A reader can start at any checkpoint, so one block can be decoded by several readers, and a span of the stream by those of
+its checkpoints alone.  The files are two tables under one path, which any store that Spark reaches can hold: ``blocks`` with
+each block's shard and the ids before it there, and ``frequencies``.
 
 Defined results: a null or empty text has its end id only; rows that repeat a doc_id follow each other and are all written;
 null ids come first; an empty table gives an empty result; columns other than doc_id and text are not read.
@@ -19,18 +19,19 @@ null ids come first; an empty table gives an empty result; columns other than do
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bpe import part_bases, staged_ids
-from ._frames import discard, stored
-from ._text import buffers
+from ._frames import discard, shared_dir, stored
+from ._text import buffers, release
 
 END_ID = 0
 #: Bits of the frequency table's total, ids in a block at least (but for a shard's last), and lanes of a block at most.
@@ -112,8 +113,8 @@ class Block:
     ids: np.ndarray
 
 
-def decode_block(payload: bytes, table: Table, checkpoint: int | None = None) -> Block:
-    """The block's documents and ids; with a checkpoint's number, the ids from there on.
+def decode_block(payload: bytes, table: Table, checkpoint: int | None = None, upto: int | None = None) -> Block:
+    """The block's documents and ids; with a checkpoint's number, the ids from there on; with upto, those of its first ids only.
 
     Raises ValueError for a payload that is not a whole block or whose ids do not have the checksum it states.
     """
@@ -138,13 +139,14 @@ def decode_block(payload: bytes, table: Table, checkpoint: int | None = None) ->
         if k == checkpoint:
             x, first, read = state.astype(np.uint64), step, before
     words = take("<u4", n_words).astype(np.uint64)
+    whole, n = n, n if upto is None else min(n, upto)
     ids = np.empty(n, dtype=np.uint32)
     shift, bits, mask = np.uint64(32), np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1)
     for t in range(first, -(-n // lanes)):
-        live = x[: min(lanes, n - t * lanes)]
+        live = x[: min(lanes, whole - t * lanes)]
         slot = live & mask
         got = table.owner[slot]
-        ids[t * lanes : t * lanes + len(got)] = got
+        ids[t * lanes : t * lanes + len(got)] = got[: n - t * lanes]
         live = table.freq[got] * (live >> bits) + slot - table.start[got]
         under = live < _LOW
         k = int(np.count_nonzero(under))
@@ -152,7 +154,7 @@ def decode_block(payload: bytes, table: Table, checkpoint: int | None = None) ->
             live[under] = (live[under] << shift) | words[read : read + k]
             read += k
         x[: len(live)] = live
-    if checkpoint is not None:
+    if checkpoint is not None or upto is not None:
         return Block(doc_ids, unknown, lengths, ids[first * lanes :])
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc or read != n_words:
         raise ValueError("a block's ids do not have its checksum")
@@ -192,8 +194,14 @@ class Files:
     frequencies: DataFrame
 
 
-def write_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Files:
-    """Encode all texts in ascending doc_id order and write their ids.
+def open_files(spark: SparkSession, path: str) -> Files:
+    """The files that write_ids() has written under a path."""
+    return Files(spark.read.schema("part int, first bigint, n_ids bigint, payload binary").parquet(f"{path}/blocks"), spark.read.schema("id int, freq int").parquet(f"{path}/frequencies"))
+
+
+def write_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | None = None) -> Files:
+    """Encode all texts in ascending doc_id order and write their ids under a path (if none is given, a new one in the shared
+    folder).
 
     The texts are shuffled once, by ranges of doc_id.  The ids are stored in between, because the frequency table needs all
     of them before the first block can be written; the store is deleted when the blocks stand.
@@ -205,7 +213,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Files:
     staged = stored(staged_ids(ordered, vocabulary, end_id), "ids")
     freq = normalise(id_counts(staged))
     used = np.flatnonzero(freq)
-    frequencies = stored(spark.createDataFrame(pa.table({"id": pa.array(used.astype(np.int32)), "freq": pa.array(freq[used].astype(np.int32))})) if len(used) else spark.createDataFrame([], "id int, freq int"), "frequencies")
+    frequencies = spark.createDataFrame(pa.table({"id": pa.array(used.astype(np.int32)), "freq": pa.array(freq[used].astype(np.int32))})) if len(used) else spark.createDataFrame([], "id int, freq int")
+    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    frequencies.write.parquet(f"{path}/frequencies")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(freq)
@@ -239,18 +249,52 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> Files:
                 upto += int(at[end] - at[i])
                 i = end
         yield from flush()
+        release()
 
-    blocks = stored(staged.mapInArrow(write, "part int, first bigint, n_ids bigint, payload binary"), "blocks")
+    staged.mapInArrow(write, "part int, first bigint, n_ids bigint, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
     discard(staged)
-    return Files(blocks, frequencies)
+    return open_files(spark, path)
 
 
-def read_ids(files: Files, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32), and the ids if asked for, from the written blocks alone; no shuffle."""
-    got = files.frequencies.toArrow()  # as many rows as there are ids in the vocabulary, at most
+def _frequencies(files: Files) -> np.ndarray:
+    """As many numbers as there are ids in the vocabulary, at most."""
+    got = files.frequencies.toArrow()
     freq = np.zeros(int(got["id"].to_numpy().max()) + 1 if got.num_rows else 1, np.uint32)
     freq[got["id"].to_numpy()] = got["freq"].to_numpy()
-    base = part_bases(files.blocks, "n_ids")
+    return freq
+
+
+def read_span(files: Files, start: int, n: int) -> DataFrame:
+    """(start, ids) of the pieces of blocks that hold the n ids of the stream from start on.
+
+    Other blocks are not read, and of a block only what lies from the checkpoint before the span to its end is decoded.  The
+    checksum covers whole blocks, so it is not checked here.
+    """
+    freq, base = _frequencies(files), part_bases(files.blocks, "n_ids")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = table_of(freq)
+        for batch in batches:
+            for part, first, many, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "n_ids", "payload"))):
+                at = int(base[part]) + first
+                low, high = max(start - at, 0), min(start + n - at, many)
+                lanes = min(LANES, max(1, many // 64))
+                mark = low // (CHECKPOINT_STEPS * lanes) - 1
+                begin = (mark + 1) * CHECKPOINT_STEPS * lanes
+                ids = decode_block(payload, table, mark if mark >= 0 else None, high).ids[low - begin :]
+                yield pa.RecordBatch.from_arrays([pa.array([at + low], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    parts = np.flatnonzero((base[:-1] < start + n) & (base[1:] > start)).tolist()
+    near = F.lit(False)
+    for part in parts:
+        low, high = start - int(base[part]), start + n - int(base[part])
+        near = near | ((F.col("part") == part) & (F.col("first") < high) & (F.col("first") + F.col("n_ids") > low))
+    return files.blocks.filter(near).mapInArrow(read, "start bigint, ids array<int>")
+
+
+def read_ids(files: Files, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32), and the ids if asked for, from the written blocks alone; no shuffle."""
+    freq, base = _frequencies(files), part_bases(files.blocks, "n_ids")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(freq)
@@ -267,5 +311,6 @@ def read_ids(files: Files, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(block.ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return files.blocks.select("part", "first", "payload").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else ""))

@@ -35,3 +35,27 @@ def test_round_trip_through_tables(spark, library):
 
 def test_empty_table(spark):
     assert pieces.encode_pieces(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_a_long_unit_is_given_off_while_it_is_searched(library):
+    made = pieces.Transducer(PATH)
+    for t in ("a" * 9000, "ab" * 5000, "日本語" * 3000, " " * 5000 + "x"):
+        assert made.encode(t) == library.encode(t)
+
+
+def test_the_models_own_normaliser_is_compiled():
+    import sentencepiece
+
+    given = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", escape_whitespaces=True, add_dummy_prefix=True, remove_extra_whitespaces=True)
+    settings = dict(pieces.wire_fields(dict(pieces.wire_fields(given.serialized_model_proto()))[3]))
+    made = pieces.Normaliser(pieces.Spec(replaced=pieces.replaced_strings(settings[2])))
+    for t in ["", " ", "ﬁ ｆｕｌｌ é", "  two  spaces  ", "①カ ｶﾞ 한", "\ta\n\nb ", "㍿ﷺ Ω", "plain"]:
+        assert made.apply(t) == given.normalize(t), t
+    plain = pieces.Normaliser(pieces.read_model(PATH))
+    assert plain.plain and plain.apply(" a b") == "▁▁a▁b" and plain.apply("") == ""
+
+
+def test_pieces_follow_each_other_as_merging_leaves_them():
+    made = pieces.Transducer(PATH)
+    a, aa = made.id_of["a"], made.id_of["aa"]
+    assert made.may_follow(aa, a) and not made.may_follow(a, aa)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -17,20 +18,34 @@ def library():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
     return lambda t: made.encode(t or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("cache", [10**6, 3])
+def drawn(n, seed):
+    """Texts of every kind of character that the pattern of cuts tells apart."""
+    rng = random.Random(seed)
+    parts = ["a", "Z", "é", "ß", "1", "½", "²", ".", ",", "'", "'s", "'t", " ", " ", "  ", "\n", "\t", "\r", "日", "😀", "\u00a0", "\u3000", "ª", "×", "-", "re", "'ll", "<|endoftext|>", "\x00", "\x1f", "ɐ", "ǅ"]
+    return ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("cache", [1 << 25, 300])
 def test_ids_equal_the_library(library, monkeypatch, cache):
-    monkeypatch.setattr(_bpe, "CACHE_WORDS", cache)
+    monkeypatch.setattr(_bpe, "CACHE_BYTES", cache)
     made = _bpe.Encoder(PATH)
-    for column in (ODD, texts(), ODD + texts(3)):
+    for column in (ODD, texts(), ODD + texts(3), drawn(5000, 1)):
         ids, at = made.encode(pa.array(column, pa.string()), end_id=7)
         for i, t in enumerate(column):
             assert ids[at[i] : at[i + 1]].tolist() == [*library(t), 7], t
 
 
+def test_a_spelled_special_token_has_its_one_id_as_in_the_library(library):
+    column = ["<|endoftext|>", "ab <|endoftext|> cd", "a<|endoftext|><|endoftext|>b", "<|endoftext", "x\n<|endoftext|>\n"]
+    ids, at = _bpe.Encoder(PATH).encode(pa.array(column))
+    got = [ids[at[i] : at[i + 1]].tolist() for i in range(len(column))]
+    assert got == [library(t) for t in column]
+    assert [row.count(50256) for row in got] == [1, 1, 2, 0, 1]
+
+
 def test_pieces_cover_every_document_and_fill_every_sequence(spark, library):
     docs = table(spark)
     got = packing.pack_pieces(docs, PATH, sequence=64).toPandas()
@@ -93,13 +108,12 @@ def test_empty_tables(spark):
     assert tokens.read_ids(tokens.write_ids(empty, PATH)).collect() == []
 
 
-def test_only_spelled_special_tokens_differ_from_the_default_call():
-    from tokenizers import Tokenizer
-
-    plain, made = Tokenizer.from_file(PATH), _bpe.Encoder(PATH)
-    column = [t for t in ODD + texts() if t]
-    ids, at = made.encode(pa.array(column, pa.string()))
-    differ = {t for i, t in enumerate(column) if ids[at[i] : at[i + 1]].tolist() != plain.encode(t, add_special_tokens=False).ids}
-    assert differ == {t for t in column if "<|endoftext|>" in t} and len(differ) > 1
-    marker = plain.token_to_id("<|endoftext|>")
-    assert marker is not None and marker not in made.encode(pa.array(["ab <|endoftext|> cd"]))[0].tolist()
+def test_files_at_a_path_are_read_by_span(spark, library, tmp_path):
+    docs = table(spark, n=20)
+    tokens.write_ids(docs, PATH, path=str(tmp_path / "ids"))
+    files = tokens.open_files(spark, str(tmp_path / "ids"))
+    whole = tokens.read_ids(files, with_ids=True).toPandas().sort_values("start")
+    stream = np.concatenate(whole.ids.tolist())
+    for start, n in ((0, 5), (17, 4000), (len(stream) - 3, 10), (len(stream) + 5, 3)):
+        got = tokens.read_span(files, start, n).toPandas().sort_values("start")
+        assert np.concatenate([np.zeros(0, int), *got.ids.tolist()]).tolist() == stream[start : start + n].tolist()
