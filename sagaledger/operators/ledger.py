@@ -9,6 +9,7 @@ Everything is partitioned by conversation; no plan needs an order over all conve
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -204,21 +205,54 @@ def change_summary(found: DataFrame) -> DataFrame:
     return each.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), ", ").alias("summary"))
 
 
-def replayed(members: list[str], ops: list[dict]) -> list[str]:
-    """Members after the ops: set, remove, replace, insert behind another."""
-    out = list(members)
-    for op in ops:
+class Members:
+    """A list of members as links from each to the one behind it, so that an op costs the same wherever it works."""
+
+    def __init__(self) -> None:
+        self.behind: dict[str | None, str | None] = {None: None}  # None stands for the place before the first and after the last
+        self.before: dict[str | None, str | None] = {None: None}
+
+    def _join(self, a: str | None, b: str | None) -> None:
+        self.behind[a], self.before[b] = b, a
+
+    def insert(self, member: str, after: str | None) -> None:
+        follower = self.behind[after]
+        self._join(after, member)
+        self._join(member, follower)
+
+    def remove(self, member: str) -> str | None:
+        """Take a member out; what stood before it."""
+        before = self.before.pop(member)
+        self._join(before, self.behind.pop(member))
+        return before
+
+    def apply(self, op: dict) -> None:
         if op["op"] == "set":
-            out = list(op["members"])
+            self.__init__()
+            for member in op["members"]:
+                self.insert(member, self.before[None])
         elif op["op"] == "remove":
-            out.remove(op["member"])
+            self.remove(op["member"])
         elif op["op"] == "replace":
-            out[out.index(op["member"])] = op["to"]
+            self.insert(op["to"], self.remove(op["member"]))
         elif op["op"] == "insert":
-            out.insert(0 if op["after"] is None else out.index(op["after"]) + 1, op["member"])
+            self.insert(op["member"], op["after"])
         else:
             raise ValueError(f"unknown op {op['op']}")
-    return out
+
+    def __iter__(self) -> Iterator[str]:
+        at = self.behind[None]
+        while at is not None:
+            yield at
+            at = self.behind[at]
+
+
+def replayed(members: list[str], ops: list[dict]) -> list[str]:
+    """Members after the ops: set, remove, replace, insert behind another.  Members are distinct."""
+    out = Members()
+    for op in [{"op": "set", "members": members}, *ops]:
+        out.apply(op)
+    return list(out)
 
 
 def membership_of(ops: DataFrame) -> DataFrame:
@@ -289,22 +323,30 @@ def strip_note_blocks(text: Column) -> tuple[Column, Column]:
 
 
 def in_context(prompt: list[str], chat: list[tuple[str, str]], anchor: int = 48, misses: int = 3) -> list[str]:
-    """Ids of chat messages that stand in a prompt: newest first, each found by a middle piece, at or before the last find."""
+    """Ids of chat messages that stand in a prompt: newest first, each found by a middle piece, at or before the last find.
+
+    Each message's anchor gets the places of the prompt that hold it; the messages then take the last place that is left to
+    them, until so many in a row have none.
+    """
     squash = lambda s: " ".join(s.split())
-    texts = [squash(p) for p in prompt]
-    pointer, missed, out = len(texts) - 1, 0, []
+    parts = [squash(p) for p in prompt]
+
+    def places(text: str) -> list[int]:
+        middle = max(0, len(text) // 2 - anchor // 2)
+        piece = text[middle : middle + anchor]
+        return [i for i, part in enumerate(parts) if piece and piece in part]
+
+    found, limit, row = [], len(parts), 0
     for id_, text in reversed(chat):
-        text = squash(text)
-        piece = text[max(0, len(text) // 2 - anchor // 2) :][:anchor]
-        at = next((i for i in range(pointer, -1, -1) if piece and piece in texts[i]), None)
-        if at is None:
-            missed += 1
-            if missed >= misses:
-                break
-        else:
-            out.append(id_)
-            pointer, missed = at, 0
-    return out
+        held = places(squash(text))
+        left = held[: bisect_left(held, limit)]
+        row = 0 if left else row + 1
+        if row == misses:
+            break
+        if left:
+            found.append(id_)
+            limit = left[-1] + 1
+    return found
 
 
 def in_context_rows(requests: DataFrame) -> DataFrame:

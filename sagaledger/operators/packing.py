@@ -136,8 +136,11 @@ def audit(lines: DataFrame, replies: DataFrame, least: float = 0.5) -> DataFrame
     """lines (trace_id, conv_id, upto, ref, text, placed, hidden) against the reply after the trace: echoed, possible_leak."""
     from ..functions.text import span_reuse
 
-    after = replies.select("conv_id", F.col("position").alias("_p"), F.col("text").alias("reply"))
-    met = lines.join(after, "conv_id").filter(F.col("_p") > F.col("upto"))
-    first = met.groupBy("trace_id", "ref", "text", "placed", "hidden").agg(F.min_by("reply", "_p").alias("reply"))
+    columns = ["trace_id", "ref", "text", "placed", "hidden"]
+    after = replies.select("conv_id", F.col("position").alias("at"), F.lit(1).alias("turn_of"), F.col("text").alias("reply"), *[F.lit(None).cast(dict(lines.dtypes)[c]).alias(c) for c in columns])
+    asked = lines.select("conv_id", F.col("upto").alias("at"), F.lit(0).alias("turn_of"), F.lit(None).cast("string").alias("reply"), *columns)
+    # Both in one window from the end of the chat: the last reply seen is the first one after a line's trace.
+    w = Window.partitionBy("conv_id").orderBy(F.desc("at"), "turn_of").rowsBetween(Window.unboundedPreceding, -1)
+    first = asked.unionByName(after).withColumn("reply", F.last("reply", ignorenulls=True).over(w)).filter("turn_of = 0 and reply is not null")
     echo = span_reuse(F.col("text"), F.col("reply")) >= least
     return first.select("trace_id", "ref", "placed", echo.alias("echoed"), (echo & F.col("hidden")).alias("possible_leak"))

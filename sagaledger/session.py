@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "sagaledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,3 +20,16 @@ def session(name: str = "sagaledger", master: str | None = None, **conf: str) ->
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """The rows computed once, checkpointed in the folder that driver and executors share: what spark.checkpoint.dir names, or
+    the context's checkpoint folder.  A local session without either gets a folder below its warehouse."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return rows.checkpoint()

@@ -14,11 +14,13 @@ def table(spark, rows):
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SCHEMA)
 
 
-def outcomes(rows):
-    return [r["outcome"] for r in folds.fold_versions(rows)]
+def folded(spark, rows):
+    got = {r.id: r for r in folds.versions(table(spark, rows)).collect()}
+    return [got[r["id"]] for r in rows]
 
 
-def test_a_newer_value_supersedes_and_a_denial_ends():
+def test_a_newer_value_supersedes_and_a_denial_ends(spark):
+    outcomes = lambda rows: [r.outcome for r in folded(spark, rows)]
     a = [row(1, 1, "Hana", "has_status", "ill"), row(2, 2, "Hana", "has_status", "well")]
     assert outcomes(a) == ["superseded", "current"]
     a.append(row(3, 3, "Hana", "has_status", "well", polarity="negative"))
@@ -27,7 +29,8 @@ def test_a_newer_value_supersedes_and_a_denial_ends():
     assert outcomes(b) == ["current", "current"], "a denial of something else stands beside"
 
 
-def test_an_item_has_one_whereabouts():
+def test_an_item_has_one_whereabouts(spark):
+    outcomes = lambda rows: [r.outcome for r in folded(spark, rows)]
     held = [row(1, 1, "Hana", "possesses", object="map"), row(2, 2, "map", "located_in", object="library", subject_type="item")]
     assert outcomes(held) == ["superseded", "current"]
     same_turn = [row(1, 2, "Hana", "possesses", object="map"), row(2, 2, "map", "located_in", object="library", subject_type="item")]
@@ -35,18 +38,20 @@ def test_an_item_has_one_whereabouts():
     burnt = [row(1, 1, "Hana", "possesses", object="map"), row(2, 2, "map", "destroyed", "burned", subject_type="item")]
     assert outcomes(burnt) == ["ended", "current"]
     back = [*burnt, row(3, 3, "Jun", "possesses", object="map")]
-    got = folds.fold_versions(back)
-    assert [r["outcome"] for r in got] == ["ended", "conflicting", "current"] and got[2]["disputed"]
+    got = folded(spark, back)
+    assert [r.outcome for r in got] == ["ended", "conflicting", "current"] and got[2].disputed
 
 
-def test_relationships_of_a_pair():
+def test_relationships_of_a_pair(spark):
+    outcomes = lambda rows: [r.outcome for r in folded(spark, rows)]
     a = [row(1, 1, "A", "relationship", "mentor", "B"), row(2, 2, "B", "relationship", "student", "A")]
     assert outcomes(a) == ["current", "current"]
     a.append(row(3, 3, "A", "relationship", "friends", "B"))
     assert outcomes(a) == ["superseded", "superseded", "current"]
     a.append(row(4, 4, "B", "relationship", "friends", "A", polarity="negative"))
     assert outcomes(a) == ["superseded", "superseded", "ended", "current"]
-    assert folds.is_symmetric("소꿉친구 사이") and not folds.is_symmetric("friend of her brother")
+    both = lambda v: spark.createDataFrame([(v,)], "v string").select(folds.is_symmetric(folds.F.col("v")).alias("b")).first().b
+    assert both("소꿉친구 사이") and not both("friend of her brother") and not both(None) and not both("")
 
 
 def test_grouped_fold_equals_its_window_form(spark):
