@@ -395,12 +395,6 @@ def change_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", state.change_text(F.lag(k).over(w), k).alias("change"))
 
 
-@query("o51_core_keys")
-def core_keys(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("position"), F.col("event_type").alias("key")).agg(F.max_by(F.get_json_object("props", "$.k"), F.struct("ts", "event_id")).alias("value"))
-    return state.core_keys(rows, ["user_id"], "position")
-
-
 @query("o70_status_flags")
 def status_flags(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", F.col("event_type").alias("key"), F.col("event_id").alias("position"), F.get_json_object("props", "$.k").alias("value"), F.lit("").alias("prose"))
@@ -437,11 +431,6 @@ def clean_pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", fx.clean_text("html").alias("text"))
 
 
-@query("o74_keywords")
-def keywords_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", fx.keywords("text").alias("keywords"))
-
-
 @query("o78_chunks")
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.posexplode(fx.chunked("text")).alias("chunk", "span")).select("doc_id", "chunk", "span.start", "span.end")
