@@ -1,8 +1,7 @@
-"""Small helpers around DataFrames: the columns an operator reads, shared files, folds and bounded samples."""
+"""Small helpers around DataFrames: the columns an operator reads, shared files, joins with groups, folds, bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,23 +13,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what spark.checkpoint.dir names.
+    """The folder that driver and executors share: what spark.checkpoint.dir names, or the checkpoint folder of the context.
 
-    Where the setting is absent (tests on one machine) a fresh folder is made and set.
+    On one machine any folder is shared, so a local session without a setting gets one below its warehouse; on a cluster
+    there is no folder to guess, and the setting's absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
+    made = sc._jsc.sc().getCheckpointDir()
     if not named:
-        made = sc._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
-        named = "file://" + tempfile.mkdtemp(prefix="sagaledger-")
-        sc.setCheckpointDir(named)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if not made.isDefined():
         sc.setCheckpointDir(named)
     return named
 
 
+#: Rows in a batch that goes to Python and back.
+BATCH_ROWS = 1000
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's Arrow batches set to BATCH_ROWS rows where they are larger.
+
+    The setting counts rows and knows nothing of their size; whole texts by 10,000 rows are tens of megabytes at a time in each
+    of several buffers, on both sides of the pipe.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
+#: Paths of stored tables that have not been discarded.
+_standing: set[str] = set()
+
+
 def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     """The rows written to the shared folder and read back, which cuts the lineage.
 
@@ -38,19 +60,46 @@ def stored(df: DataFrame, kind: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _standing.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path  # type: ignore[attr-defined]
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    _standing.discard(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of stored(), once nothing reads them."""
     path = getattr(df, "_stored_at", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every stored table that still stands.  Results that read them are gone then, so write those first."""
+    for path in sorted(_standing):
+        _delete(spark, path)
+
+
+#: A key with more than this share of all rows is hot; there are fewer hot keys than this number.
+HOT = 10_000
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with groups, which has one row for each key; its column named size says how many of the rows have that key.
+
+    The groups of hot keys are fewer than HOT, so they are broadcast and their rows stay where they are.  All others meet in a
+    shuffle, in which no key has more than one in HOT of the rows.  groups is read three times and should be stored.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot = F.broadcast(groups.filter(F.col(size) > total / HOT))
+    few = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col(size) <= total / HOT), keys)
+    return rows.join(hot, keys).unionByName(few)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -1,19 +1,19 @@
 """Exact deduplication by deterministic block naming, in DataFrame operations only.
 
-A text is normalised (each run of white space becomes one space) and cut into blocks of a fixed number of bytes.  Equal
-blocks get equal names and different blocks different ones; then adjacent names are paired, pairs are named in the same
-way, and so on until one name is left: the document's identity, equal for two documents exactly when their normalised
-texts are equal.
+A text is normalised (each run of white space becomes one space) and cut into blocks of a fixed number of bytes.  The
+distinct blocks are sorted and numbered: a block's name is an integer, equal for equal blocks and for no others.  Then
+adjacent names are paired, the distinct pairs are sorted and numbered in the same way, and so on until one name is left: the
+document's identity, equal for two documents exactly when their normalised texts are equal.
 
-A name is a pair of integers: the number of the bucket that a content falls into, and its rank among the sorted distinct
-contents of that bucket.  The bucket is a 64-bit number computed from the content, so that the sort is spread over the
-cluster without an order over all blocks.  Two contents of one bucket are told apart by comparing the contents
-themselves: ``shared_buckets`` sorts each bucket and compares its least with its greatest content.  Only buckets in which
-these differ need ranks above the first; they are ranked by a second sort and joined back.  No name ever depends on
-digests being free of collisions.
+The order of the blocks is by a 64-bit number computed from the content first and by the content itself where two contents
+share the number.  So only the numbers need to be sorted and joined, unless ``shared_numbers``, which compares the least and
+the greatest content of every number, finds one with two contents; those contents are sorted and joined as they are.  Pairs
+are sorted by their two names.  No name depends on digests being free of collisions.
 
-Work and skew: the texts are shuffled once, after each task has reduced equal blocks to one; the levels above move names
-only and halve each time.  A content that a third of the corpus shares is one row per task before the shuffle.
+Work and skew: the texts are shuffled once, after each task has reduced the blocks of a number to two; what is sorted, joined
+and paired above them are integers, and their number halves with each level.  Numbers and pairs are counted where they lie
+before they are sorted, and names come back by ``joined_by_group``, so a block that a third of the corpus shares goes into no
+single task.
 
 Defined results: a null text counts as an empty one; empty texts equal each other; of equal rows (same doc_id, same text)
 one stays; null ids come after all others, and a group with null ids only keeps one row and has a null keep_id; an empty
@@ -22,10 +22,10 @@ table gives an empty result; columns other than doc_id and text are carried by `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._frames import discard, stored, unused_name
+from ._frames import discard, joined_by_group, stored, unused_name
 
 #: Bytes in a block.
 BLOCK_BYTES = 4096
@@ -38,43 +38,27 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WHITE, " ")
 
 
-def _bucket(*content: Column, bits: int) -> Column:
-    number = F.xxhash64(*content)
+def _number(content: Column, bits: int) -> Column:
+    number = F.xxhash64(content)
     return number if bits == 64 else F.pmod(number, F.lit(1 << bits))
 
 
-def shared_buckets(contents: DataFrame) -> DataFrame:
-    """The buckets of (bucket, content) that hold two different contents or more."""
-    ends = contents.groupBy("bucket").agg(F.min("content").alias("least"), F.max("content").alias("greatest"))
-    return ends.filter(F.col("least") != F.col("greatest")).select("bucket")
+def shared_numbers(contents: DataFrame) -> DataFrame:
+    """(number, n, shared) of (number, content): how many blocks have the number, and whether they differ."""
+    ends = contents.groupBy("number").agg(F.min("content").alias("least"), F.max("content").alias("greatest"), F.count(F.lit(1)).alias("n"))
+    return ends.select("number", "n", (F.col("least") != F.col("greatest")).alias("shared"))
 
 
-def _ranked(contents: DataFrame, shared: DataFrame) -> DataFrame:
-    """(row_id, pos, bucket, rank) of every content; ranks of shared buckets by sorting their distinct contents."""
-    from pyspark.sql import Window
+def named(keys: DataFrame, by: list[str]) -> DataFrame:
+    """keys, which are distinct in the columns by, with an integer name each: their place in the sorted order.
 
-    distinct = contents.join(shared, "bucket", "left_semi").select("bucket", "content").distinct()
-    order = Window.partitionBy("bucket").orderBy("content")
-    ranks = distinct.withColumn("rank", F.dense_rank().over(order))
-    return contents.join(ranks, ["bucket", "content"], "left").select("row_id", "pos", "bucket", F.coalesce("rank", F.lit(1)).alias("rank"))
-
-
-def _with_names(rows: DataFrame, contents: DataFrame, guess: DataFrame) -> DataFrame:
-    """rows with the names of their contents in order.
-
-    guess has the names for the case that no bucket is shared, computed inside each row; where one is, names with ranks
-    are put together from the exploded contents.
+    The sort is by ranges, and a name is the range's number and the place in it; stored, so that every reader sees one name.
     """
-    shared = shared_buckets(contents)
-    if shared.isEmpty():
-        return guess
-    named = _ranked(contents, shared).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bucket", "rank"))).alias("named"))
-    named = named.select("row_id", F.transform("named", lambda x: F.struct(x["bucket"].alias("bucket"), x["rank"].alias("rank"))).alias("names"))
-    return rows.join(named, "row_id")
+    return stored(keys.orderBy(*by).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int = 64) -> DataFrame:
-    """(row_id, doc_id, text_sha256, level, bucket, rank): the last three are the document's identity.
+def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, number_bits: int = 64) -> DataFrame:
+    """(row_id, doc_id, sha, level, name): the last two are the document's identity, sha the text's SHA-256.
 
     row_id numbers the rows; the result is read from files in the shared folder, so it stays the same for every reader.
     """
@@ -84,34 +68,41 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int
     raw = F.col("text").cast("binary")
     last = F.greatest(F.ceil(F.octet_length("text") / F.lit(block_bytes)).cast("int"), F.lit(1)) - 1
     blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
-    name = lambda b: F.struct(_bucket(b, bits=bucket_bits).alias("bucket"), F.lit(1).alias("rank"))
-    slim = rows.select("row_id", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.transform(blocks, name).alias("names"))
-    base = stored(slim, "names")
-    each = rows.select(F.explode(blocks).alias("content"))
-    each = each.withColumn("bucket", _bucket(F.col("content"), bits=bucket_bits))
-    if not shared_buckets(each).isEmpty():
-        # Positions must belong to the stored row_ids, so the texts are stored with them.
+    sha = F.unhex(F.sha2("text", 256)).alias("sha")
+    numbers = F.transform(blocks, lambda b: _number(b, number_bits))
+    slim = stored(rows.select("row_id", "doc_id", sha, numbers.alias("numbers")), "rows")
+    each = rows.select(F.explode(blocks).alias("content")).withColumn("number", _number(F.col("content"), number_bits))
+    seen = stored(shared_numbers(each), "numbers")
+    place = slim.select("row_id", "doc_id", "sha", F.posexplode("numbers").alias("pos", "number"), F.size("numbers").alias("n"))
+    if seen.filter("shared").isEmpty():
+        names = named(seen.drop("shared").withColumnRenamed("n", "rows"), ["number"])
+        state = joined_by_group(place, names, ["number"], "rows")
+    else:
+        # The row_ids of the texts must be those of one reading, so the texts are stored with them.
         full = stored(rows, "rows")
-        contents = full.select("row_id", F.posexplode(blocks).alias("pos", "content")).withColumn("bucket", _bucket(F.col("content"), bits=bucket_bits))
-        fixed = _with_names(full.select("row_id", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha")), contents, full)
-        discard(base)
-        base = stored(fixed.select("row_id", "doc_id", "sha", "names"), "names")
-        discard(full)
-
-    done, state, level = [], base, 0
+        place = full.select("row_id", "doc_id", sha, F.posexplode(blocks).alias("pos", "content"), (last + 1).alias("n")).withColumn("number", _number(F.col("content"), number_bits))
+        some = place.join(seen.filter("shared").select("number"), "number", "left_semi")
+        several = some.groupBy("number", "content").count().withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy("content")))
+        several = stored(several.select("number", "content", "rank", F.col("count").alias("rows")), "ranks")
+        ranks = place.join(several.select("number", "content", "rank"), ["number", "content"], "left").select("row_id", "doc_id", "sha", "pos", "n", "number", F.coalesce("rank", F.lit(1)).alias("rank"))
+        keys = seen.filter("not shared").select("number", F.lit(1).alias("rank"), F.col("n").alias("rows")).unionByName(several.select("number", "rank", "rows"))
+        names = named(keys, ["number", "rank"])
+        state = joined_by_group(ranks, names, ["number", "rank"], "rows")
+    state = stored(state.select("row_id", "doc_id", "sha", "pos", "n", "name"), "state")
+    done, level = [], 0
     while True:
-        one = F.element_at("names", 1)
-        done.append(state.filter(F.size("names") == 1).select("row_id", "doc_id", "sha", F.lit(level).alias("level"), one["bucket"].alias("bucket"), one["rank"].alias("rank")))
-        more = state.filter(F.size("names") > 1)
+        done.append(state.filter("n = 1").select("row_id", "doc_id", "sha", F.lit(level).alias("level"), "name"))
+        more = state.filter("n > 1")
         if more.isEmpty():
             break
-        half = F.ceil(F.size("names") / F.lit(2)).cast("int") - 1
-        pairs = F.transform(F.sequence(F.lit(0), half), lambda i: F.struct(F.get("names", 2 * i).alias("left"), F.get("names", 2 * i + 1).alias("right")))
-        more = more.select("row_id", "doc_id", "sha", pairs.alias("pairs"))
-        number = lambda p: _bucket(p["left"]["bucket"], p["left"]["rank"], p["right"]["bucket"], p["right"]["rank"], bits=bucket_bits)
-        contents = more.select("row_id", F.posexplode("pairs").alias("pos", "content")).withColumn("bucket", number(F.col("content")))
-        guess = more.withColumn("names", F.transform("pairs", lambda p: F.struct(number(p).alias("bucket"), F.lit(1).alias("rank")))).drop("pairs")
-        state = stored(_with_names(more.drop("pairs"), contents, guess).select("row_id", "doc_id", "sha", "names"), "names")
+        side = lambda at: F.max(F.when(F.col("pos") % 2 == at, F.col("name")))
+        pairs = more.groupBy("row_id", "doc_id", "sha", F.floor(F.col("pos") / 2).cast("int").alias("pos"), F.ceil(F.col("n") / 2).cast("int").alias("n"))
+        # A last name without a neighbour is paired with -1, which names nothing.
+        pairs = stored(pairs.agg(side(0).alias("left"), F.coalesce(side(1), F.lit(-1)).alias("right")), "pairs")
+        names = named(pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("rows")), ["left", "right"])
+        state = stored(joined_by_group(pairs, names, ["left", "right"], "rows").select("row_id", "doc_id", "sha", "pos", "n", "name"), "state")
+        discard(pairs)
+        discard(names)
         level += 1
     out = done[0]
     for more in done[1:]:
@@ -119,17 +110,16 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int
     return out
 
 
-def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bits: int = 64) -> DataFrame:
+def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, number_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The groups are summed up before the shuffle and joined back on the identity; both sides are narrow, and a hot
-    identity's rows can be split by the adaptive skew join, for the other side has one row per identity.
+    The groups are summed up before the shuffle and joined back on the identity, hot ones by a bounded broadcast.
     """
-    each = identities(docs, block_bytes, bucket_bits)
-    key = ["level", "bucket", "rank"]
+    each = identities(docs, block_bytes, number_bits)
+    key = ["level", "name"]
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_id")
-    summed = each.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return each.join(summed, key).select(
+    summed = stored(each.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return joined_by_group(each, summed, key, "group_size").select(
         "doc_id",
         F.col("first")["doc_id"].alias("keep_id"),
         "group_size",
