@@ -58,12 +58,70 @@ def test_families_larger_than_a_chunk(spark, monkeypatch):
     assert got(neardup.near_duplicates(docs, words_in=2)) == brute(data, 2)
 
 
-def test_drop_near_copies_keeps_columns(spark):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_families_in_size_classes(spark, monkeypatch, seed):
+    """Texts that grow and lose words, so that links cross size classes and chunks."""
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    rng = random.Random(seed)
+    base, data = words(rng, 40).split(" "), []
+    for i in range(36):
+        base = [w for w in base if rng.random() > 0.03] + words(rng, rng.randint(1, 6)).split(" ")
+        data.append((i, " ".join(base)))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert got(neardup.near_duplicates(docs, words_in=2)) == brute(data, 2)
+
+
+def test_sets_with_one_identity_are_told_apart(spark):
+    assert got(neardup.near_duplicates(table(spark), words_in=2, bits=3)) == brute(rows(), 2)
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_drop_near_copies_keeps_the_rows_that_are_kept(spark, bits):
+    a, b = "one two three four five six seven", "other words are in this one here"
+    more = [(901, a), (903, a), (903, b), (903, None), (904, b), (None, b + " and no id"), (None, a)]
     docs = table(spark)
-    out = neardup.drop_near_copies(docs, words_in=2)
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"), allowMissingColumns=True)
+    data = rows() + [(*r, *[None] * 10) for r in more]
+    out = neardup.drop_near_copies(docs, words_in=2, bits=bits)
     assert out.columns == docs.columns
-    want = {r[0] for r in brute(rows(), 2) if r[3]}
-    assert {r.doc_id for r in out.collect()} - {None} == want - {None}
+    want = sorted([tuple(r[:2]) for r, kept in zip(data, judge(data, 2)) if kept], key=repr)
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == want
+
+
+def judge(data, k):
+    """Row by row, whether brute force keeps it."""
+    sets, group = sets_of(data, k), list(range(len(data)))
+    for i in range(len(data)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    ids = [min([data[j][0] for j in range(len(data)) if group[j] == group[i] and data[j][0] is not None], default=None) if sets[i] else data[i][0] for i in range(len(data))]
+    return [r[0] == i for r, i in zip(data, ids)]
+
+
+def test_recall_on_a_whole_table(spark):
+    """Every link of all pairs of the sf0.01 documents, by brute force with a prefix of each set in a fixed order."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = [sorted(map(hash, s)) for s in sets_of(data, 2)]
+    at, group, links = {}, list(range(len(data))), 0
+    for i, s in enumerate(sets):
+        near = {j for x in s[: len(s) - (8 * len(s) + 9) // 10 + 1 + len(s) // 5] for j in at.get(x, ())}
+        for j in near:
+            both = len(set(s) & set(sets[j]))
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                links += 1
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+        for x in s[: len(s) - (8 * len(s) + 9) // 10 + 1 + len(s) // 5]:
+            at.setdefault(x, []).append(i)
+    least = {}
+    for (doc, _), g in zip(data, group):
+        least[g] = min(doc, least.get(g, doc))
+    want = {doc: least[g] for (doc, _), g in zip(data, group)}
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words_in=2).collect()}
+    assert links > 100 and sum(found[d] == c for d, c in want.items()) >= 0.99 * len(want)
 
 
 def test_empty_table(spark):
