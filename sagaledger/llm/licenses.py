@@ -5,8 +5,9 @@ spaces.  A keyword prefilter decides which rules run on a text: each rule names
 must contain.  Detections that overlap are resolved by priority (the rule's kind), and a detection whose words lie inside
 those of a stronger or longer one is suppressed.
 
-Rules come from two sources: the base phrases, which are always reported, and the families table below, from which each
-license gets rules for its tag line, its full name, its short names and its grant sentences.  Every rule has a priority and a confidence; the
+Rules come from three sources: the base phrases, which are always reported; the signatures, some two hundred sentences and
+phrases of license texts, each written by hand; and the families table below, from which each license gets rules for its tag
+line, its full name, its short names and its grant sentences.  Every rule has a priority and a confidence; the
 score of a text is the highest confidence among the detections that remain.
 
 Defined results: a null text counts as an empty one (no words, no labels, score 0); repeated rows are scanned one by one;
@@ -24,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALPHANUMERIC, Words, steps
+from ._frames import in_batches
+from ._text import ALPHANUMERIC, Words, release, steps
+from .signatures import SIGNATURES
 
 # Phrases of the base scan and their labels.
 BASE_PHRASES = {
@@ -105,36 +108,6 @@ FAMILIES: dict[str, tuple[list[str], list[str], list[str]]] = {
     "public-domain": ([], ["released into the public domain", "dedicated to the public domain", "placed in the public domain"], []),
 }
 
-# Sentences of license texts, by label.
-SENTENCES: dict[str, list[str]] = {
-    "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software",
-        "the above copyright notice and this permission notice shall be included in all copies",
-    ],
-    "apache-2": [
-        "you may not use this file except in compliance with the license",
-        "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    ],
-    "bsd-3-clause": [
-        "neither the name of (?:\\S+ ){1,12}may be used to endorse or promote products",
-    ],
-    "bsd-2-clause": [
-        "redistribution and use in source and binary forms with or without modification are permitted",
-    ],
-    "isc": ["permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee"],
-    "gpl": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-        "you should have received a copy of the gnu general public license",
-    ],
-    "lgpl": ["you should have received a copy of the gnu lesser general public license"],
-    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license"],
-    "bsl-1": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software"],
-    "wtfpl": ["you just do what the fuck you want to"],
-    "ofl-1.1": ["this font software is licensed under the sil open font license"],
-}
-
 # How a grant leads up to a license's name: (words before it, words after it, priority, confidence).
 GRANTS = [
     ("spdx license identifier ", "", 0, 1.0),
@@ -179,11 +152,14 @@ def build_rules() -> list[Rule]:
         if pattern not in out:
             out[pattern] = Rule(label, _keyword(pattern), re.compile(f"(?<= ){pattern}(?= )"), priority, confidence)
 
+    for label, sentences in SIGNATURES.items():
+        for sentence in sentences:
+            # A sentence of a text is as sure as a tag, a phrase of a few words less so.
+            sure = sentence.count(" ") >= 5
+            add(label, sentence, 0 if sure else 2, 0.98 if sure else 0.7)
     for label, (tags, names, short) in FAMILIES.items():
         for tag in tags:
             add(label, f"spdx license identifier {tag}", 0, 1.0)
-        for sentence in SENTENCES.get(label, []):
-            add(label, sentence, 0, 0.98)
         for name in [*names, *short]:
             for before, after, priority, confidence in GRANTS:
                 add(label, before + name + after, priority, confidence)
@@ -192,9 +168,6 @@ def build_rules() -> list[Rule]:
         for name in short:
             if " " in name or any(c.isdigit() for c in name):
                 add(label, name, 4, 0.4)
-    for label in SENTENCES.keys() - FAMILIES.keys():
-        for sentence in SENTENCES[label]:
-            add(label, sentence, 0, 0.98)
     return sorted(out.values(), key=lambda r: r.priority)
 
 
@@ -222,13 +195,25 @@ class Detection:
     confidence: float
 
 
+#: Words in a cell of the index of kept detections.
+CELL = 64
+
+
 def suppressed(found: list[Detection]) -> list[Detection]:
-    """The detections that remain: by priority, then length, then place; one inside a kept one goes, as does one that
-    overlaps a kept one of a stronger priority."""
+    """The detections that remain: by priority, then length, then place, then label; one inside a kept one goes, as does one
+    that overlaps a kept one of a stronger priority.
+
+    Kept ones are indexed by the cells of words that they touch, so a long file of license lines costs no more per line.
+    """
     kept: list[Detection] = []
+    cells: dict[int, list[Detection]] = {}
     for d in sorted(found, key=lambda d: (d.priority, d.first - d.end, d.first, d.label)):
-        if not any(k.first <= d.first and d.end <= k.end or (k.priority < d.priority and d.first < k.end and k.first < d.end) for k in kept):
+        touched = range(d.first // CELL, (d.end - 1) // CELL + 1)
+        near = (k for c in touched for k in cells.get(c, ()))
+        if not any(k.first <= d.first and d.end <= k.end or (k.priority < d.priority and d.first < k.end and k.first < d.end) for k in near):
             kept.append(d)
+            for c in touched:
+                cells.setdefault(c, []).append(d)
     return sorted(kept, key=lambda d: (d.first, d.end, d.label))
 
 
@@ -318,5 +303,6 @@ def license_scan(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(labels), pa.array(score), pa.array(places)],
                     names=[c.split()[0] for c in RESULT.split(", ")],
                 )
+        release()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, RESULT)
+    return in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, RESULT)

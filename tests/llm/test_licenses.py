@@ -51,3 +51,34 @@ def test_contained_and_weaker_detections_are_suppressed():
 
 def test_empty_table(spark):
     assert L.license_scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_signature_is_a_rule_that_finds_its_own_words():
+    assert sum(map(len, L.SIGNATURES.values())) >= 200
+    for label, sentences in L.SIGNATURES.items():
+        for sentence in sentences:
+            assert L._keyword(sentence), sentence
+            if not set(sentence) & set("(?[\\"):
+                got = L.detect(["x", *sentence.split(" "), "y"])
+                assert any(d.first == 1 and d.end == 1 + sentence.count(" ") + 1 for d in got), (label, sentence, got)
+
+
+def test_ties_and_long_files():
+    same = [L.Detection("b", 3, 6, 1, 0.9), L.Detection("a", 3, 6, 1, 0.9), L.Detection("c", 3, 5, 1, 0.9), L.Detection("d", 5, 9, 2, 0.9)]
+    assert [d.label for d in L.suppressed(same)] == ["a"]
+    line = "this file is licensed under the mit license and the apache license version 2 0 ".split(" ")[:-1]
+    found = L.detect(line * 3000)
+    assert len({(d.first % len(line), d.label) for d in found}) * 3000 == len(found)
+
+
+def test_suppression_equals_the_definition():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(30):
+        found = [L.Detection(rng.choice("abc"), a := rng.randint(0, 300), a + rng.randint(1, 90), rng.randint(0, 3), 0.5) for _ in range(60)]
+        kept = []
+        for d in sorted(found, key=lambda d: (d.priority, d.first - d.end, d.first, d.label)):
+            if not any(k.first <= d.first and d.end <= k.end or (k.priority < d.priority and d.first < k.end and k.first < d.end) for k in kept):
+                kept.append(d)
+        assert L.suppressed(found) == sorted(kept, key=lambda d: (d.first, d.end, d.label))
