@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import coverage, entities, folds, ledger, memory, packing, retrieval, serving, state, views
+from ..operators import recall as recall_
 from ..sources.tables import messages, table
 from .registry import Query, register
 
@@ -512,15 +513,19 @@ def excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", "rev_id", retrieval.excerpt("text", "query", fx.keywords("query")).alias("excerpt"))
 
 
+def _memory(corpus: DataFrame) -> recall_.Memory:
+    """What the messages themselves say: the first sentence of each as an event, and a question of each as an open thread."""
+    words = F.filter(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " "), lambda x: F.length(x) >= 4)
+    said = corpus.select("conv_id", "position", F.xxhash64("rev_id").alias("id"), F.element_at(F.split("text", r"(?<=[.!?])\s"), 1).alias("text"), F.get(words, F.lit(0)).alias("name")).filter("name is not null")
+    facts = said.select("conv_id", "id", F.lit("event").alias("predicate"), F.array("name").alias("names"), "text", "position", F.array().cast("array<string>").alias("missing"))
+    threads = said.filter("position % 3 = 0").select("conv_id", "id", F.lit("goal").alias("kind"), F.lower("name").alias("by"), F.lit(None).cast("string").alias("to"), "text", F.col("position").alias("turn"), F.lit("open").alias("status"))
+    return recall_.Memory(facts=facts, threads=threads)
+
+
 def recall(spark: SparkSession, sf: str, budget: int = 400) -> DataFrame:
-    """Hybrid recall of every conversation's latest message: routes, fusion, excerpts, and packing under a budget."""
+    """Hybrid recall of every conversation's latest message: routes, fusion, facts, threads, quotes, packed under a budget."""
     requests, corpus = _requests(spark, sf)
-    routes = {"lexical": retrieval.lexical(requests, corpus).withColumn("strong", F.lit(True)), "keyword": retrieval.keyword_route(requests, corpus).withColumn("strong", F.lit(True))}
-    found = retrieval.fuse(routes).join(corpus, "rev_id").join(requests.select("request_id", "query"), "request_id")
-    w = Window.partitionBy("request_id").orderBy(F.desc("rrf"), F.desc("position"))
-    lines = found.select("request_id", F.row_number().over(w).alias("n"), F.lit(budget).alias("budget"), F.lit("excerpt").alias("kind"), F.col("rev_id").alias("ref"),
-        retrieval.excerpt("text", "query", fx.keywords("query")).alias("text"), F.lit(None).cast("string").alias("head"), F.lit(False).alias("private"))
-    return packing.pack(lines)
+    return recall_.retrieve(requests, corpus, _memory(corpus), budget)
 
 
 @query("o97_recall")

@@ -80,3 +80,25 @@ def test_keywords_match_by_the_exact_measure_and_count_every_match(spark):
     # With two more matches the word is in more than half of the chat and counts for nothing.
     more = spark.createDataFrame([("c", "x", 20, "dragons"), ("c", "y", 21, "dragonfly"), ("c", "z", 22, "dragoon and dragons")], CORPUS)
     assert retrieval.keyword_route(asked, corpus.unionByName(more)).collect() == []
+
+
+def test_a_packet_of_all_parts(spark):
+    from sagaledger.operators import recall
+
+    talk_ = [(0, "Hana said \"the old lighthouse burns\" and left."), (1, "It rained all day."), (2, "The lighthouse keeper found a map of the coast."), (3, "They ate bread."), (4, "A boat came from the north.")]
+    corpus = spark.createDataFrame([("c", f"c:{i}", i, t) for i, t in talk_], CORPUS)
+    asked = spark.createDataFrame([(1, "c", "what about the lighthouse keeper", "It rained.", [1.0, 0.0])], "request_id int, conv_id string, query string, reply string, embedding array<double>")
+    facts = spark.createDataFrame([("c", 7, "has_status", ["lighthouse keeper"], "the keeper is ill", 2, ["Jun"]), ("c", 8, "event", ["nobody"], "a feast", 3, [])], "conv_id string, id bigint, predicate string, names array<string>, text string, position int, missing array<string>")
+    threads = spark.createDataFrame([("c", 9, "goal", "keeper", None, "find the coast", 2, "open")], 'conv_id string, id bigint, kind string, `by` string, `to` string, text string, turn int, status string')
+    vectors = spark.createDataFrame([("c", "c:4", 4, [0.0, 1.0]), ("c", "c:4", 4, [0.9, 0.1]), ("c", "c:3", 3, [0.1, 0.9])], "conv_id string, rev_id string, position int, embedding array<double>")
+    history = spark.createDataFrame([("c", "The lighthouse keeper found a map", "nothing like it", 4)], "conv_id string, old_value string, new_value string, turn int")
+    whole = recall.Memory(facts, threads, vectors, None)
+    got = recall.retrieve(asked, corpus, whole, budget=400).collect()
+    parts = {(r.kind, r.ref) for r in got if r.placed}
+    assert {("fact", "7"), ("thread", "9"), ("quote", "c:0#10"), ("excerpt", "c:2"), ("excerpt", "c:4")} <= parts and not {("fact", "8"), ("excerpt", "c:3")} & parts
+    assert [r.kind for r in sorted(got, key=lambda r: r.n)] == sorted([r.kind for r in got], key=recall.packing.ORDER.index)
+    assert {r.kind: r.offered for r in recall.trace(spark.createDataFrame(got)).collect()}["fact"] == 1
+    private = {r.ref: r.private for r in recall.gather(asked, corpus, whole).filter("kind = 'fact'").collect()}
+    assert private == {"7": True}
+    later = recall.retrieve(asked, corpus, recall.Memory(history=history), budget=400).collect()
+    assert ("excerpt", "c:2") not in {(r.kind, r.ref) for r in later} and {r.kind for r in later} <= {"excerpt", "quote"}
