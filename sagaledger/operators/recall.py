@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords
+from ..session import held
 from . import packing, retrieval
 
 #: What is asked of the routes at most, and how many excerpts go to the packet.
@@ -42,7 +43,7 @@ def vector_route(requests: DataFrame, vectors: DataFrame, least: float = retriev
 
 def candidates(requests: DataFrame, corpus: DataFrame, memory: Memory) -> DataFrame:
     """(request_id, rev_id, rrf, signals) of all routes that the memory allows, fused by reciprocal rank."""
-    found = retrieval.keyword_route(requests, corpus)
+    found = held(retrieval.keyword_route(requests, corpus))  # the particle route fills what it leaves
     routes = {"lexical": retrieval.lexical(requests, corpus), "keyword": found}
     w = Window.partitionBy("request_id").orderBy(F.desc("position"), "rev_id")
     routes["particle"] = retrieval.particle_route(requests, corpus, found).withColumn("rank", F.row_number().over(w))
@@ -56,14 +57,15 @@ def gather(requests: DataFrame, corpus: DataFrame, memory: Memory, budget: int =
 
     Excerpts that repeat a value which a later statement has replaced are left out.
     """
-    asked = requests.select("request_id", "conv_id", "query")
-    hits = candidates(requests, corpus, memory).join(corpus, "rev_id").join(asked.drop("conv_id"), "request_id")
+    requests = held(requests.withColumn("words", keywords("query")))
+    asked = requests.select("request_id", "conv_id", "query", "words")
+    hits = held(candidates(requests, corpus, memory)).join(corpus, "rev_id").join(asked.drop("conv_id"), "request_id")
     if memory.history is not None:
         told = hits.select("request_id", "conv_id", "rev_id", F.col("position").alias("turn"), "text")
         hits = hits.join(retrieval.not_replaced(told, memory.history).select("request_id", "rev_id"), ["request_id", "rev_id"], "left_semi")
-    hits = hits.withColumn("text", retrieval.excerpt("text", "query", keywords("query")))
     top = Window.partitionBy("request_id").orderBy(F.desc("rrf"), F.desc("position"), "rev_id")
     hits = hits.withColumn("_n", F.row_number().over(top)).filter(F.col("_n") <= EXCERPTS)
+    hits = hits.withColumn("text", retrieval.excerpt("text", "query", "words"))
     none, plain = F.lit(None).cast("string"), F.lit(False)
     line = lambda df, kind, ref, score, head=none, private=plain: df.select("request_id", F.lit(kind).alias("kind"), ref.cast("string").alias("ref"), "text", head.alias("head"), private.alias("private"), score.cast("double").alias("score"))
     lines = line(hits, "excerpt", F.col("rev_id"), F.col("rrf"))
