@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,21 +13,32 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import ledger
 
 
+#: Folders that a ledger is dealt into by conversation.  Fixed when a ledger is begun, for its rows lie where it put them.
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("conv_id"), F.lit(BUCKETS)).cast("int")
+
+
 def ledger_sink(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that appends the manifest rows of a batch which the ledger does not have.
 
-    The ledger's rows are immutable and carry their hash, so a batch that is run again adds nothing.
+    The ledger's rows are immutable and carry their hash, so a batch that is run again adds nothing.  The ledger lies in
+    buckets of conversations, and of it a batch reads only the buckets that it touches: BUCKETS numbers at most come to the
+    driver to say which.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = ledger.manifest_rows(ledger.newest_manifest(ledger.idempotent(batch)))
+        rows = ledger.manifest_rows(ledger.newest_manifest(ledger.idempotent(batch))).withColumn("bucket", _bucket())
+        touched = [r.bucket for r in batch.select(_bucket().alias("bucket")).distinct().collect()]
         try:
-            known = batch.sparkSession.read.parquet(path).select("conv_id", "object_id", "rev_hash")
-            rows = rows.join(known, ["conv_id", "object_id", "rev_hash"], "left_anti")
+            known = batch.sparkSession.read.parquet(path).filter(F.col("bucket").isin(touched)).select("bucket", "conv_id", "object_id", "rev_hash")
+            rows = rows.join(known, ["bucket", "conv_id", "object_id", "rev_hash"], "left_anti")
         except Exception as error:  # the first batch has no ledger yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("bucket").parquet(path)
 
     return write
 
