@@ -235,13 +235,13 @@ def fact_denials(spark: SparkSession, sf: str) -> DataFrame:
     return folds.versions(_ordered(spark, sf, value=F.col("o_orderstatus"), polarity=polarity)).select("id", "outcome", "closed_turn")
 
 
-@query("o56_whereabouts", """WITH s AS (SELECT l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber AS id, row_number() OVER w AS turn FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber))
+@query("o56_whereabouts", """WITH s AS (SELECT l_suppkey, l_partkey, l_suppkey * 1000000 + row_number() OVER w AS id, row_number() OVER w AS turn FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice))
 SELECT id, CASE WHEN lead(turn) OVER v IS NULL THEN 'current' ELSE 'superseded' END AS outcome, CAST(lead(turn) OVER v AS INT) AS closed_turn, false AS disputed FROM s WINDOW v AS (PARTITION BY l_suppkey, l_partkey ORDER BY turn)""")
 def whereabouts(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     l = _lines(spark, sf).withColumn("turn", F.row_number().over(w))
     held, item, who = F.col("l_linestatus") == "O", F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("o"), "l_orderkey")
-    rows = _statements(l, id=F.col("l_orderkey") * 10 + F.col("l_linenumber"), conv_id=F.col("l_suppkey"), position=F.col("turn"), turn=F.col("turn"), predicate=F.when(held, "possesses").otherwise("located_in"),
+    rows = _statements(l, id=F.col("l_suppkey") * 1000000 + F.col("turn"), conv_id=F.col("l_suppkey"), position=F.col("turn"), turn=F.col("turn"), predicate=F.when(held, "possesses").otherwise("located_in"),
         subject=F.when(held, who).otherwise(item), subject_type=F.when(held, "character").otherwise("item"), object=F.when(held, item).otherwise(F.col("word")))
     return folds.versions(rows).select("id", "outcome", "closed_turn", "disputed")
 
