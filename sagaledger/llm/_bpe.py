@@ -23,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._frames import in_batches
 from ._text import Texts, buffers, ranges, release, steps
 
 #: Bytes of a worker's cache of units, about; and bytes of text in a step.
 CACHE_BYTES = 32 << 20
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: What a unit in the cache costs beside its own bytes: two objects, a place in a table, the pool's offsets.
 _UNIT_COST = 180
 
@@ -276,7 +277,7 @@ def staged_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 first += int(at[-1])
         release()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, STAGED)
 
 

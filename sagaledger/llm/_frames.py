@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -86,19 +86,23 @@ def discard_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-#: A key with more than this share of all rows is hot; there are fewer hot keys than this number.
-HOT = 10_000
+#: A key is hot if it has more than one in HOT of all rows and more than HOT_ROWS; there are fewer hot keys than HOT.
+HOT, HOT_ROWS = 10_000, 1_000
 
 
 def joined_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """rows joined with groups, which has one row for each key; its column named size says how many of the rows have that key.
 
     The groups of hot keys are fewer than HOT, so they are broadcast and their rows stay where they are.  All others meet in a
-    shuffle, in which no key has more than one in HOT of the rows.  groups is read three times and should be stored.
+    shuffle, in which no key has more than one in HOT of the rows, or HOT_ROWS.  groups is read several times and should be
+    stored.
     """
-    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
-    hot = F.broadcast(groups.filter(F.col(size) > total / HOT))
-    few = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col(size) <= total / HOT), keys)
+    seen = groups.agg(F.sum(size).alias("n"), F.max(size).alias("most")).first()
+    bar = max((seen["n"] or 0) / HOT, HOT_ROWS)
+    if (seen["most"] or 0) <= bar:
+        return rows.join(groups, keys)
+    hot = F.broadcast(groups.filter(F.col(size) > bar))
+    few = rows.join(hot.select(*keys), keys, "left_anti").join(groups.filter(F.col(size) <= bar), keys)
     return rows.join(hot, keys).unionByName(few)
 
 
@@ -107,18 +111,27 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+#: Bytes of text that a sample holds of each class at most, and a text in it.
+SAMPLE_BYTES, SAMPLE_TEXT_BYTES = 32 << 20, 2 << 20
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, per_class: int) -> DataFrame:
     """(doc_id, text, target) of at most per_class training rows of each class, chosen by a hash of the id.
 
     allowed says, in terms of doc_id, which rows may be learned from.  The chosen ids number 2 * per_class at most, so the
-    join broadcasts them; the texts come from one filtered scan.  Null ids, null targets and other targets are left out.
+    join broadcasts them; the texts come from one filtered scan.  Null ids, null targets and other targets are left out, and
+    so are texts of more than SAMPLE_TEXT_BYTES and what goes beyond SAMPLE_BYTES of a class, so that a sample fits the driver.
     """
     rows = labels.select(labels["doc_id"].alias("doc_id"), labels[target].cast("int").alias("target"))
     rows = rows.filter(allowed & F.col("doc_id").isNotNull() & F.col("target").isin(0, 1))
     rows = rows.groupBy("doc_id").agg(F.max("target").alias("target"))
     picked = [rows.filter(F.col("target") == y).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "target")
+    got = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "target")
+    size = F.octet_length("text")
+    upto = Window.partitionBy("target").orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    got = got.filter(size <= SAMPLE_TEXT_BYTES).withColumn("_bytes", F.sum(size).over(upto))
+    return got.filter(F.col("_bytes") <= SAMPLE_BYTES).drop("_bytes")
 
 
 def unused_name(df: DataFrame, name: str) -> str:

@@ -147,6 +147,8 @@ def bloom(numbers: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     got = numbers.mapInArrow(run, "word int, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    del got
+    release()
     return out.view(np.uint64)
 
 

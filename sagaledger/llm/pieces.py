@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import STEP_BYTES, UnitEncoder
+from ._frames import in_batches
 from ._text import Texts, buffers, release, steps
 
 MARK = "▁"  # what the normaliser writes for a space
@@ -414,7 +415,7 @@ def encode_pieces(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, names=fields)
         release()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, RESULT + (", ids array<int>" if with_ids else ""))
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._chain import marginals
-from ._frames import fold_of, labelled_sample
-from ._text import NOT_SPACE, Texts, Words, mix64, span_hashes, steps
+from ._frames import fold_of, in_batches, labelled_sample
+from ._text import NOT_SPACE, Texts, Words, mix64, release, span_hashes, steps
 from .rules import SYMBOLS, _lines
 
 #: Held-out rows have this remainder of crc32(doc_id) modulo FOLDS (fixed values).
@@ -214,7 +214,10 @@ def train_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     if not got.num_rows:
         return Field(np.zeros(WIDTH), np.zeros((2, 2)))
     got = got.sort_by("doc_id").combine_chunks()
-    return train(got["text"].combine_chunks(), got["target"].to_numpy())
+    field = train(got["text"].combine_chunks(), got["target"].to_numpy())
+    del got
+    release()
+    return field
 
 
 def score_quality(docs: DataFrame, field: Field) -> DataFrame:
@@ -225,8 +228,9 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
             for a, b, texts in steps(batch.column("text")):
                 s = field.scores(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(s), pa.array((s >= DECISION).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        release()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
@@ -239,5 +243,6 @@ def keep_good(docs: DataFrame, field: Field) -> DataFrame:
             good = [field.scores(texts) >= DECISION for _, _, texts in steps(column.cast(pa.string()))]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
+        release()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_batches(docs).mapInArrow(keep, docs.schema)

@@ -9,9 +9,8 @@ No table labels secrets, so the field learns from a bounded sample of texts: wor
 others are not, and made-up secrets of other forms and made-up things that only look alike (addresses, dates, numbers,
 links) are put into copies of the sample with their labels.
 
-Decoding is exact without visiting every word: where a word's outside score beats its other scores by more than the two
-transitions beside it can make up, the best path must have outside there, so the chain falls apart at that word.  Viterbi runs over
-the few stretches that remain.
+Decoding is exact without visiting every word: where no run of words through a word can gain anything over outside, the best
+path has outside there, so the chain falls apart at that word.  Viterbi runs over the few stretches that remain.
 
 Defined results: a null text counts as an empty one and has no spans; repeated rows are scanned one by one; a null doc_id
 stays null; an empty table gives an empty result; columns other than doc_id and text are not read (``redact`` carries
@@ -31,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chain import marginals, viterbi
-from ._frames import labelled_sample
-from ._text import LEADING, NOT_SPACE, Texts, Words, buffers, count_in, span_hashes, steps
+from ._frames import in_batches, labelled_sample
+from ._text import LEADING, NOT_SPACE, Texts, Words, buffers, count_in, release, span_hashes, steps
 
 # The base patterns, and how long a match must be.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -71,6 +70,7 @@ _UPPER, _LOWER, _DIGIT = _table(bytes(range(65, 91))), _table(bytes(range(97, 12
 _HEX = _table(b"0123456789abcdef")
 _JOIN = _table(b"+/_=-")
 _SIGN = _table(b":=")
+_DASH = _table(b"-")
 _KIND = np.zeros(256, dtype=np.int8)  # for switches between character kinds
 _KIND[_UPPER], _KIND[_LOWER], _KIND[_DIGIT] = 1, 2, 3
 
@@ -88,7 +88,7 @@ def _cues() -> np.ndarray:
 
 
 #: Features of a word: its shape, the cue and shape of the words beside it, and the text's.
-SHAPE = 11
+SHAPE = 14
 WIDTH = 1 + SHAPE + 5 + 2
 
 
@@ -102,7 +102,7 @@ def word_features(texts: Texts, words: Words) -> np.ndarray:
         np.cumsum(table[data], out=run[1:], dtype=np.int32)
         return (run[end] - run[start]).astype(np.float32)
 
-    upper, lower, digit, joined, sign = map(share, (_UPPER, _LOWER, _DIGIT, _JOIN, _SIGN))
+    upper, lower, digit, joined, sign, hexes, dash = map(share, (_UPPER, _LOWER, _DIGIT, _JOIN, _SIGN, _HEX, _DASH))
     kind = _KIND[data]
     run = np.zeros(len(data) + 1, dtype=np.int32)
     if len(data):
@@ -126,6 +126,9 @@ def word_features(texts: Texts, words: Words) -> np.ndarray:
     shape[:, 8] = np.minimum(other, 4) / 4
     shape[:, 9] = np.minimum(np.maximum(upper - 1, 0), 6) / 6
     shape[:, 10] = (digit + joined + other + sign >= size) & (size > 0)
+    shape[:, 11] = switches / many
+    shape[:, 12] = (hexes + dash >= size) & (dash > 0)
+    shape[:, 13] = digit / many
     odd = shape[:, 4] * 8 >= 2
     x = np.zeros((len(start), WIDTH), dtype=np.float32)
     x[:, 0] = 1
@@ -154,31 +157,30 @@ class Tagger:
     def _undecided(self, up: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Places that may have another label than outside on the best path.
 
-        Putting outside in a word's place changes its own score and the two transitions beside it.  Where no label can
-        gain that much, whatever its neighbours are, the word is outside; and then its neighbours have one less choice,
-        so the test is taken again for those that are left.
+        A run of such places on the best path gains something over outside in all of them.  What a run can gain is at most
+        the sum of its places' best margins over outside, the dearest ways in and out, and the dearest step inside for each
+        place but one.  A place is left to Viterbi if some run through it could gain; the best run through each place comes
+        from two running sums.
         """
-        move, inner = self.move, (BEGIN, INSIDE)
-        before = {y: move[:, y] - move[:, OUT] for y in inner}
-        after = {y: move[y, :] - move[OUT, :] for y in inner}
-        live = np.ones(len(up), dtype=bool)
-        heads, tails = np.zeros(len(up), dtype=bool), np.zeros(len(up), dtype=bool)
-        filled = first[:-1][np.diff(first) > 0]
-        heads[filled] = True
-        tails[first[1:][np.diff(first) > 0] - 1] = True
-        at = np.arange(len(up))
-        for _ in range(6):
-            free_before = ~heads[at] & live[np.maximum(at - 1, 0)]
-            free_after = ~tails[at] & live[np.minimum(at + 1, len(up) - 1)]
-            keep = np.zeros(len(at), dtype=bool)
-            for y in inner:
-                gain = np.where(free_before, before[y].max(), before[y][OUT]) + np.where(free_after, after[y].max(), after[y][OUT])
-                keep |= up[at, y] + gain >= up[at, OUT]
-            live[at[~keep]] = False
-            if keep.all():
-                break
-            at = at[keep]
-        return at
+        move, at_rest = self.move, self.move[OUT, OUT]
+        step = move[BEGIN:, BEGIN:].max() - at_rest
+        ends = move[OUT, BEGIN:].max() + move[BEGIN:, OUT].max() - 2 * at_rest - step
+        gain = (up[:, BEGIN:].max(1) - up[:, OUT]).astype(float) + step
+
+        def best_so_far(gain: np.ndarray, begins: np.ndarray) -> np.ndarray:
+            """The best sum of a run that ends at each place and does not cross the begin of a text."""
+            total = np.cumsum(gain)
+            before = total - gain
+            # Texts are set apart so far that the least sum before a place is one of its own text's.
+            apart = np.cumsum(begins) * (1.0 + np.abs(gain).sum())
+            return total - (np.minimum.accumulate(before - apart) + apart)
+
+        heads = np.zeros(len(up), dtype=bool)
+        tails = np.zeros(len(up), dtype=bool)
+        filled = np.diff(first) > 0
+        heads[first[:-1][filled]] = tails[first[1:][filled] - 1] = True
+        through = best_so_far(gain, heads) + best_so_far(gain[::-1], tails[::-1])[::-1] - gain
+        return np.flatnonzero(through + ends >= -1e-3)
 
     def tagged(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The best label of every word; Viterbi over the stretches that can hold another label than outside."""
@@ -236,6 +238,12 @@ def _made_up(rng: np.random.Generator) -> tuple[list[str], list[int]]:
         lambda: ([f"{draw(letters, 2, 6)}={draw(digits, 1, 3)}"], [0]),
         lambda: (["v" + ".".join(str(int(v)) for v in rng.integers(0, 30, 3))], [0]),
         lambda: ([draw(letters.upper(), 6, 14)], [0]),
+        lambda: (["-".join(draw("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12))], [0]),
+        lambda: ([f"{draw(digits, 4, 4)}-{draw(digits, 2, 2)}-{draw(digits, 2, 2)}T{draw(digits, 2, 2)}:{draw(digits, 2, 2)}:{draw(digits, 2, 2)}Z"], [0]),
+        lambda: ([f"{draw(letters, 4, 9)}-{draw(digits, 1, 2)}.{draw(digits, 1, 2)}.{draw(digits, 1, 2)}-{draw(letters, 1, 4)}{draw(digits, 2, 3)}"], [0]),
+        lambda: ([f"/{draw(letters, 3, 5)}/{draw(letters, 4, 8)}{draw(digits, 1, 2)}/{draw(letters, 4, 9)}-{draw(digits, 1, 4)}.{draw(letters, 2, 3)}"], [0]),
+        lambda: ([f"{draw(letters.upper(), 2, 4)}_{draw(digits, 8, 8)}_{draw(digits, 6, 6)}.{draw(letters, 3, 3)}"], [0]),
+        lambda: (["pwd", draw(every, 4, 7) + rng.choice(list("!?$@+")) + draw(every, 4, 7)], [0, 1]),
     ]
     return kinds[int(rng.integers(0, len(kinds)))]()
 
@@ -307,7 +315,10 @@ def train(texts: list[str], seed: int = 3) -> Tagger:
 def train_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Tagger:
     """A tagger from the texts of a bounded sample of labelled rows; their labels are not used."""
     got = labelled_sample(docs, labels, "quality", F.lit(True), per_class).toArrow().sort_by("doc_id")
-    return train(got["text"].to_pylist())
+    tagger = train(got["text"].to_pylist())
+    del got
+    release()
+    return tagger
 
 
 _STRIP = "\"'`(),;.[]{}<>"
@@ -396,8 +407,9 @@ def secret_scan(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 counts = [pa.array([sum(k == kind for _, k, _ in spans) for spans in every], pa.int64()) for kind in range(3)]
                 base = pa.array([hashlib.sha256(_joined([x for x in spans if x[1] < 3]).encode()).hexdigest() for spans in every])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *counts, base, pa.array([_joined(spans) for spans in every])], names=[c.split()[0] for c in RESULT.split(", ")])
+        release()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
 def redact(docs: DataFrame, tagger: Tagger, mark: str = "[secret]") -> DataFrame:
@@ -424,5 +436,6 @@ def redact(docs: DataFrame, tagger: Tagger, mark: str = "[secret]") -> DataFrame
                 changed = pa.array([None if n is None else len(n) for n in new], pa.int64()).cast(columns[at].type)
                 columns[at] = changed
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)

@@ -100,3 +100,44 @@ def test_empty_table_and_no_labels(spark):
     tagger = S.train_on(table(spark), labels(spark))
     assert S.secret_scan(spark.createDataFrame([], SCHEMA), tagger).collect() == []
     assert np.isfinite(tagger.weights).all()
+
+
+# Forms that the field is not trained on: what is secret, and what only looks alike.
+def held_out_forms(rng):
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = letters + letters.upper() + digits
+    d = lambda n, chars=every: "".join(rng.choices(chars, k=n))
+    secret = [
+        lambda: "AIza" + d(35, every + "-_"), lambda: "glpat-" + d(20), lambda: "SG." + d(22) + "." + d(43), lambda: "eyJ" + d(17) + ".eyJ" + d(40) + "." + d(43, every + "-_"),
+        lambda: "npm_" + d(36), lambda: "AccountKey=" + d(86, every + "+/") + "==", lambda: f"mysql://{d(5, letters)}:{d(12)}@{d(6, letters)}.internal:3306/{d(5, letters)}",
+        lambda: "xapp-1-" + d(11) + "-" + d(13, digits) + "-" + d(64, "0123456789abcdef"), lambda: d(40, every + "+/"),
+    ]
+    plain = [
+        lambda: "978-3-" + d(2, digits) + "-" + d(6, digits) + "-" + d(1, digits), lambda: "DE" + d(2, digits) + " " + " ".join(d(4, digits) for _ in range(4)), lambda: f"http://www.{d(8, letters)}.net/{d(5, letters)}/{d(6, letters)}.html",
+        lambda: d(6, letters) + "_" + d(3, letters) + "@" + d(6, letters) + ".co.uk", lambda: "".join(d(5, letters).title() for _ in range(4)), lambda: "XK-" + d(4, digits) + "-B" + d(2, digits),
+        lambda: "2024-W" + d(2, digits) + "-5T" + d(4, digits), lambda: "get_" + d(6, letters) + "_by_" + d(5, letters) + "_v2(x)", lambda: "$" + d(3, digits) + "," + d(3, digits) + ".99",
+    ]
+    return secret, plain
+
+
+def test_planted_secrets_of_forms_that_were_not_trained_on(spark):
+    import random
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r.text]
+    tagger = S.train(texts[::3][:600])
+    rng = random.Random(7)
+    held = [t for i, t in enumerate(texts) if i % 3]
+    found = {}
+    for kind, forms in zip(("secret", "plain"), held_out_forms(rng)):
+        planted, spans = [], []
+        for form in forms * 30:
+            words = rng.choice(held).split(" ")
+            k, what = rng.randrange(len(words) + 1), form()
+            before = " ".join([*words[:k], ""])
+            planted.append(before + what + " " + " ".join(words[k:]))
+            spans.append((len(before), len(before) + len(what)))
+        got = S.scan(S.Texts(*S.buffers(pa.array(planted))), tagger)
+        found[kind] = sum(any(a < e and s < b for a, _, b in g) for (s, e), g in zip(spans, got)) / len(spans)
+    assert found["secret"] >= 0.95 and found["plain"] <= 0.05, found
+    got = S.scan(S.Texts(*S.buffers(pa.array(held))), tagger)
+    assert sum(kind == 3 for g in got for _, kind, _ in g) <= 0.005 * len(held)
