@@ -5,9 +5,11 @@ the mean of theirs, a window's vector is the mean of its words', and a linear so
 probability.  A misspelling that was never seen shares most of its n-grams with the word it comes from.  Insults are a
 few words of a long text, so a text is scored by overlapping windows of a few words over its whole length: its logit is
 that of its most toxic window.  Training does the same: of a toxic text it learns from the window that is most toxic so
-far, of a clean one from the window that is most toxic so far and from windows at random.
+far, of a clean one from the windows that are most toxic so far and from one at random.
 
-The table and the softmax are trained together by Adagrad.  After training each table row is projected on the difference
+The table and the softmax are trained together by Adagrad.  The first dimension starts from the shrunk odds of each feature
+among toxic and clean texts, so that already the first pass looks at the right windows; the fewer toxic texts there are, the
+smaller are the steps away from it.  After training each table row is projected on the difference
 of the two classes' weights, for only that number enters a score: scoring a text is one table look-up per n-gram and
 running sums, over code points, with no Python object per word.
 
@@ -27,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._frames import fold_of, labelled_sample
-from ._text import mix64, ranges, steps
+from ._frames import fold_of, in_batches, labelled_sample
+from ._text import mix64, ranges, release, steps
 
 #: Held-out rows have this remainder of crc32(doc_id) modulo FOLDS (fixed values).
 FOLDS, HELD_OUT = 4, 2
@@ -40,16 +42,23 @@ SAMPLE_PER_CLASS = 1200
 DIMENSIONS = 12
 BUCKETS = 1 << 18
 #: Texts of the sample that a feature must occur in to be learned; a rarer one would only be memorised.
-MIN_TEXTS = 4
+MIN_TEXTS = 2
 SIZES = (3, 4, 5)
+#: Texts of each class that a feature's odds are shrunk by.
+SHRINK = 1.0
+#: Toxic texts (or as large a share of clean ones) with a feature at which it counts half.
+SUPPORT = 6.0
+#: Step of the table's rows, the sum of squared gradients that they start from, which keeps first steps small, and the number
+#: of toxic texts from which on the step is a whole one.
+TABLE_RATE, TABLE_START, MANY_TOXIC = 0.5, 1e-2, 300
 #: Words in a window, and words from one window to the next.
 WINDOW, STRIDE = 12, 6
 #: Windows of a clean text that a pass learns from, and the share of words seen without their whole form.
 HARD, DROP = 3, 0.5
 #: How much a clean text on the wrong side of the cut weighs against a toxic one; clean texts are the many.
-CLEAN_WEIGHT = 4
+CLEAN_WEIGHT = 3
 #: Rows in a training step; passes over the sample, and more of them where it is small, up to a number of steps.
-LOT, EPOCHS, MAX_EPOCHS, MIN_STEPS = 128, 6, 30, 400
+LOT, EPOCHS, MAX_EPOCHS, MIN_STEPS = 128, 14, 30, 400
 
 _WORD = np.ones(0x3000, dtype=bool)
 for _c in range(0x3000):
@@ -186,18 +195,32 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     b = bags(texts)
     start, stop, owner = _windows(b.first)
+    at = np.flatnonzero(np.diff(np.concatenate([[-1], owner])))
+    ends, of = np.append(at[1:], len(owner)), target[owner[at]]
+    aside = rng.random(len(at)) < 0.2  # texts that only the passes to keep and the cut are chosen with
+    if min(np.bincount(of[aside], minlength=2)) < 3 or min(np.bincount(of[~aside], minlength=2)) < 3:
+        aside[:] = False
+    texts_with = np.zeros((2, BUCKETS), np.int32)
+    for i in owner[at]:
+        texts_with[target[i], np.unique(b.features[b.at[b.first[i]] : b.at[b.first[i + 1]]])] += 1
+    known = texts_with.sum(0) >= MIN_TEXTS
+    per_word = np.diff(b.at)
+    at = np.flatnonzero(np.diff(np.concatenate([[-1], owner])))
+    ends = np.append(at[1:], len(owner))
+
+    # The odds of a feature among toxic and clean texts, shrunk where few have it, are where the first dimension starts: a few
+    # words make a text toxic, and nothing else says which.  A feature that few toxic texts have could only be memorised.
+    texts_of = np.bincount(of, minlength=2)
+    share = (texts_with + SHRINK) / (texts_of[:, None] + 2 * SHRINK)
+    support = texts_with[1] + texts_with[0] * (texts_of[1] / texts_of[0])
+    odds = np.where(known, (np.log(share[1]) - np.log(share[0])) * support / (support + SUPPORT), 0)
     table = rng.normal(0, 0.02, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weight = rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    texts_with = np.zeros(BUCKETS, np.int32)
-    for i in range(len(texts)):
-        texts_with[np.unique(b.features[b.at[b.first[i]] : b.at[b.first[i + 1]]])] += 1
-    known = texts_with >= MIN_TEXTS
+    table[:, 0], weight[0] = odds, (-1, 1)
     table[~known] = 0
-    slow = [np.full(table.shape[0], 1e-6, np.float32), np.full_like(weight, 1e-6), np.full_like(bias, 1e-6)]
+    slow = [np.full(table.shape[0], TABLE_START, np.float32), np.full_like(weight, 1e-2), np.full_like(bias, 1e-2)]
     per_word = np.diff(b.at)
-    at = np.flatnonzero(np.diff(np.concatenate([[-1], owner])))
-    ends = np.append(at[1:], len(owner))
 
     def margins() -> np.ndarray:
         value = table @ (weight[:, 1] - weight[:, 0])
@@ -205,9 +228,19 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
         run = np.concatenate([[0.0], np.cumsum(word)])
         return (run[stop] - run[start]) / (stop - start)
 
-    aside = rng.random(len(at)) < 0.2  # texts that only the cut is chosen with
-    if min(np.bincount(target[owner[at[aside]]], minlength=2)) < 3 or min(np.bincount(target[owner[at[~aside]]], minlength=2)) < 3:
-        aside[:] = False
+    def judged() -> tuple[np.ndarray, np.ndarray, float, float]:
+        """(largest margin of every text, its label, the margins beside the best cut), of texts aside."""
+        top = np.maximum.reduceat(margins(), at)
+        y = of
+        if aside.any():
+            top, y = top[aside], y[aside]
+        order = np.argsort(top)
+        wrong = np.cumsum(y[order] == 1) + CLEAN_WEIGHT * ((y == 0).sum() - np.cumsum(y[order] == 0))
+        best = int(np.argmin(wrong))
+        return top, y, float(top[order[best]]), float(top[order[min(best + 1, len(order) - 1)]])
+
+    # The fewer toxic texts there are, the less the passes may move what the odds say.
+    step = TABLE_RATE * min(1.0, texts_of[1] / MANY_TOXIC)
     size = int(np.clip(len(at) // 16, 8, LOT))
     epochs = int(np.clip(MIN_STEPS * size / (3 * len(at)), EPOCHS, MAX_EPOCHS))
     for epoch in range(epochs):
@@ -215,15 +248,11 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
         chosen, truth = [], []
         for s, e in zip(at[~aside], ends[~aside]):
             y = int(target[owner[s]])
-            if 4 * epoch < epochs:
-                # Little is known yet: every window of a toxic text may be the one.
-                pick = s + rng.permutation(e - s)[:8]
-            else:
-                pick = np.array([s + int(np.argmax(margin[s:e]))])
-                if not y:
-                    # the windows of a clean text that look most toxic are what is left to learn
-                    hard = s + np.argsort(-margin[s:e])[:HARD]
-                    pick = np.unique(np.concatenate([hard, s + rng.integers(0, e - s, 1)]))
+            pick = np.array([s + int(np.argmax(margin[s:e]))])
+            if not y:
+                # the windows of a clean text that look most toxic are what is left to learn
+                hard = s + np.argsort(-margin[s:e])[:HARD]
+                pick = np.unique(np.concatenate([hard, s + rng.integers(0, e - s, 1)]))
             chosen.append(pick)
             truth.append(np.full(len(pick), y))
         pick, truth = np.concatenate(chosen), np.concatenate(truth)
@@ -253,27 +282,15 @@ def train(texts: list[str], target: np.ndarray, seed: int = 5) -> Model:
             p *= share[:, None] / len(w)
             down = [matrix.T @ (p @ weight.T), vector.T @ p, p.sum(0)]
             slow[0][unique] += (down[0] ** 2).mean(1)
-            table[unique] -= 0.5 * down[0] / np.sqrt(slow[0][unique])[:, None]
+            table[unique] -= step * down[0] / np.sqrt(slow[0][unique])[:, None]
             for k, (what, rate) in enumerate(((weight, 0.1), (bias, 0.1)), 1):
                 slow[k] += down[k] ** 2
                 what -= rate * down[k] / np.sqrt(slow[k])
     # The bias is set where the largest margins of texts that were not learned from separate the classes best.
-    margin = margins()
-    top = np.maximum.reduceat(margin, at)
-    y = target[owner[at]]
-    if aside.any():
-        top, y = top[aside], y[aside]
-    order = np.argsort(top)
-    wrong = np.cumsum(y[order] == 1) + CLEAN_WEIGHT * ((y == 0).sum() - np.cumsum(y[order] == 0))
-    best = int(np.argmin(wrong))
-    low = top[order[best]]
-    high = top[order[min(best + 1, len(order) - 1)]]
+    top, y, low, high = judged()
     value = (table @ (weight[:, 1] - weight[:, 0])).astype(np.float32)
     # A text at the cut has the score of the decision, one at twice its distance from the clean median has a higher one.
     cut = (low + high) / 2
-    # Where nearly all toxic texts lie well above it, the cut moves some of the way up to them: clean texts are more, and more
-    # varied, than those it was chosen with.
-    cut = max(cut, 0.75 * cut + 0.25 * float(np.quantile(top[y == 1], 0.1)))
     clean = float(np.median(top[y == 0]))
     slope = 4.0 / max(float(cut) - clean, 1e-6)
     bias = float(np.log(DECISION / (1 - DECISION)) - slope * cut)
@@ -290,7 +307,10 @@ def train_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
     if not got.num_rows:
         return Model()
     got = got.sort_by("doc_id")
-    return train(got["text"].to_pylist(), got["target"].to_numpy())
+    model = train(got["text"].to_pylist(), got["target"].to_numpy())
+    del got
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -302,6 +322,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             for a, b, _ in steps(column, 1 << 20):
                 s = model.scores([x or "" for x in column.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(s), pa.array((s >= DECISION).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        release()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
