@@ -81,6 +81,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words_in=2)
 
 
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2 what the contract fixes, for its SQL."""
+    return op2_license_scan(spark, sf_dir).drop("labels", "score")
+
+
+def rule_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9 what the contract fixes, for its SQL."""
+    return op9_quality_rules(spark, sf_dir).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -92,8 +102,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
+    "license_base_columns": license_base_columns,
+    "rule_base_columns": rule_base_columns,
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""
@@ -101,4 +115,27 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
                sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    # Sets of more than four fifths in common share one of the least fifth of either's elements, in any fixed order.
+    "op10_near_duplicates": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: hash(w[i] || ' ' || w[i + 1]))) ELSE list_transform(w, lambda x: hash(x)) END AS s FROM w),
+p AS (SELECT doc_id, unnest(list_sort(s)[1:CAST(len(s) - ceil(80 * len(s) / 100.0) + 1 AS INT)]) AS x FROM s),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id <> b.doc_id),
+l AS (SELECT c.a, c.b FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b WHERE 180 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s))),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) AS component_id, doc_id <= coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id) AS kept FROM s""",
+    "license_base_columns": rf"""
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'under' AND w[i + 1:i + 4] = ['under', 'the', 'mit', 'license']) AS m, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 1:i + 4] = ['apache', 'license', 'version', '2']) AS a,
+    list_filter(range(0, len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 1:i + 3] = ['cc', 'by', 'nc']) AS c FROM w)
+SELECT doc_id, n_words, len(m) + len(a) + len(c) AS n_base, list_min(list_concat(m, a, c)) AS first_word, list_max(list_concat(m, a, c)) AS last_word,
+    array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    "rule_base_columns": r"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, t, w, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g, list_filter(string_split(t, chr(10)), lambda l: regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g') <> '') AS lines FROM w),
+e AS (SELECT doc_id, unnest(g) AS g, unnest(range(1, len(g) + 1)) AS i FROM x),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM e),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed FROM x LEFT JOIN c USING (doc_id)""",
 }

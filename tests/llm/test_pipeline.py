@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+import helpers
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,27 @@ def test_run_equals_its_stages(stages, spark):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     whole = corpus_pipeline.run(spark, SF).toPandas()
     assert whole.length.sum() == stages[-1][2].toPandas().length.sum() and set(whole.columns) >= set(columns)
+
+
+@pytest.fixture(scope="module")
+def messy(spark, tmp_path_factory):
+    """Nulls, empty texts, repeated and missing ids, and columns with names that the operators use, with labels beside them."""
+    path = str(tmp_path_factory.mktemp("messy"))
+    known = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 90, 2)]
+    helpers.labels(spark, known).write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_each_stage_takes_messy_and_empty_tables(spark, messy, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = helpers.table(spark, n=12)
+    out = stage(spark, docs, messy)
+    rows = out.collect()
+    assert stage(spark, spark.createDataFrame([], helpers.SCHEMA), messy).collect() == []
+    if name == "packing":
+        assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+        return
+    assert out.columns == docs.columns and {r.doc_id for r in rows} <= {r[0] for r in helpers.rows(n=12)}
+    if name == "secret_scan":
+        assert len(rows) == docs.count()
