@@ -1,8 +1,8 @@
 """Vectorised text kernels shared by the operators of this folder.
 
-An Arrow string column is one buffer of UTF-8 bytes and a list of offsets.  The kernels here work on that buffer with
-numpy, half a megabyte at a time, so that no Python object is made for a word and a worker's arrays stay small.  Every kernel treats a null text as an
-empty one.
+An Arrow string column is one buffer of UTF-8 bytes and a list of offsets.  The kernels here work on that buffer with numpy,
+half a megabyte at a time, so that no Python object is made for a word and a worker's arrays stay small.  Every kernel treats a
+null text as an empty one.
 """
 
 from __future__ import annotations
