@@ -164,12 +164,16 @@ _OF_SECOND = np.array([[_latin_class((lead << 6 | b & 0x3F) & 0xFF) for b in ran
 class Encoder(UnitEncoder):
     """A byte-level BPE of the tokenizers library with its usual pattern of cuts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """With plain, the strings of special tokens in a text are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special)]
         # How a byte-level vocabulary writes bytes: printable ones as they are, the others from U+0100 on, in order.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
@@ -177,6 +181,11 @@ class Encoder(UnitEncoder):
         self.letters[hidden] = 0x100 + np.arange(len(hidden))
         self.plain = bytes(b for b in range(256) if b < 0xC9 and b != 0x27)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        byte_of = {chr(c): b for b, c in enumerate(self.letters.tolist())}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        #: The bytes that each id stands for, and how many they are.
+        self.names = [bytes(map(byte_of.__getitem__, n)) if byte_of.keys() >= set(n) else n.encode() for n in names]
+        self.sizes = np.array([len(n) for n in self.names], np.int32)
         self._clear()
 
     def whole(self, text: str) -> list[int]:
@@ -245,14 +254,19 @@ class Encoder(UnitEncoder):
         return np.flatnonzero(begin)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
+
+
+def plain_encoder(path: str) -> Encoder:
+    """An encoder that takes the strings of special tokens as ordinary text."""
+    return encoder(path, True)
 
 
 STAGED = "part int, first bigint, doc_id bigint, n_tokens bigint, ids binary"

@@ -81,6 +81,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words_in=2)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import alignment
+
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op2 what the contract fixes, for its SQL."""
     return op2_license_scan(spark, sf_dir).drop("labels", "score")
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "license_base_columns": license_base_columns,
     "rule_base_columns": rule_base_columns,
 }
