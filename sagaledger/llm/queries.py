@@ -81,6 +81,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words_in=2)
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import alignment
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "license_base_columns": license_base_columns,
     "rule_base_columns": rule_base_columns,
