@@ -87,6 +87,12 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import alignment
 
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_collocations": op12_collocations,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "license_base_columns": license_base_columns,
     "rule_base_columns": rule_base_columns,
@@ -138,6 +145,20 @@ c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.
 l AS (SELECT c.a, c.b FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b WHERE 180 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s))),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) AS component_id, doc_id <= coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id) AS kept FROM s""",
+    "op12_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS g FROM w, range(1, 6) t(s)),
+f AS (SELECT lang, s, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING s = 1 OR count(*) >= 100),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE s = 1 GROUP BY 1),
+c AS (SELECT lang, s, g, f AS a, string_split(g, ' ') AS w, unnest(range(1, s)) AS k FROM f WHERE s > 1),
+x AS (SELECT c.lang, c.g, c.a, c.k, l.f AS l, r.f AS r, n.n, (1000 * c.a * n.n) // (l.f * r.f) AS score FROM c JOIN n ON n.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.w[1:c.k], ' ') JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.w[c.k + 1:c.s], ' ')),
+b AS (SELECT lang, g, a, n, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS m FROM x GROUP BY ALL),
+d AS (SELECT DISTINCT o.lang, array_to_string(string_split(o.g, ' ')[i:i + t - 1], ' ') AS g, o.f FROM f o, range(2, 5) q(t), range(1, 5) u(i) WHERE t < o.s AND i + t - 1 <= o.s),
+e AS (SELECT lang, g, max(f) AS f FROM d GROUP BY ALL),
+k AS (SELECT b.lang, b.g, b.a, b.n, b.m, row_number() OVER (PARTITION BY b.lang ORDER BY m.score DESC, a DESC, encode(b.g)) AS rank FROM b LEFT JOIN e ON e.lang = b.lang AND e.g = b.g WHERE e.f IS NULL OR e.f < b.a)
+SELECT lang, rank, g AS phrase, a::BIGINT AS a, m.l::BIGINT AS l, m.r::BIGINT AS r, n::BIGINT AS n, m.score::BIGINT AS score FROM k WHERE rank <= 2000""",
     "license_base_columns": rf"""
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'under' AND w[i + 1:i + 4] = ['under', 'the', 'mit', 'license']) AS m, list_filter(range(0, len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 1:i + 4] = ['apache', 'license', 'version', '2']) AS a,
