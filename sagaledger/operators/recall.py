@@ -41,8 +41,12 @@ def vector_route(requests: DataFrame, vectors: DataFrame, least: float = retriev
     return retrieval.ranked(best, "sim", limit)
 
 
-def candidates(requests: DataFrame, corpus: DataFrame, memory: Memory) -> DataFrame:
-    """(request_id, rev_id, rrf, signals) of all routes that the memory allows, fused by reciprocal rank."""
+def candidates(requests: DataFrame, corpus: DataFrame | retrieval.Index, memory: Memory) -> DataFrame:
+    """(request_id, rev_id, rrf, signals) of all routes that the memory allows, fused by reciprocal rank.
+
+    All text routes read one stored index.
+    """
+    corpus = retrieval.index_of(corpus)
     found = held(retrieval.keyword_route(requests, corpus))  # the particle route fills what it leaves
     routes = {"lexical": retrieval.lexical(requests, corpus), "keyword": found}
     w = Window.partitionBy("request_id").orderBy(F.desc("position"), "rev_id")

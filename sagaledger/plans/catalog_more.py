@@ -404,30 +404,30 @@ def chronicle(spark: SparkSession, sf: str) -> DataFrame:
     return memory.chronicle(c, c.filter("turn = 1").select("conv_id", F.substring("text", 1, 25).alias("secret")), 1500).select("conv_id", "turn")
 
 
-@query("o82_thread_relevance", f"""WITH t AS (SELECT o_custkey % 50 AS c, o_orderkey AS id, o_orderpriority AS text, lower(o_orderstatus) || lower(o_orderstatus) AS who, o_orderkey AS turn FROM orders WHERE o_orderstatus <> 'P'),
-q AS (SELECT c_custkey AS request_id, c_custkey % 50 AS c, CASE WHEN c_custkey % 3 = 0 THEN '1-URGENT now' ELSE 'is oo here' END AS query, 'ff said' AS reply FROM customer WHERE c_custkey <= 200),
+@query("o82_thread_relevance", f"""WITH t AS (SELECT o_custkey // 30 AS c, o_orderkey AS id, o_orderpriority AS text, lower(o_orderstatus) || lower(o_orderstatus) AS who, o_orderkey AS turn FROM orders WHERE o_orderstatus <> 'P'),
+q AS (SELECT c_custkey AS request_id, c_custkey // 30 AS c, CASE WHEN c_custkey % 3 = 0 THEN '1-URGENT now' ELSE 'is oo here' END AS query, 'ff said' AS reply FROM customer),
 m AS (SELECT request_id, id, turn, CASE WHEN len(list_intersect({GRAMS.format(NORM.format("text"))}, {GRAMS.format(NORM.format("query"))})) / len({GRAMS.format(NORM.format("text"))}) >= 0.2 THEN 3
     WHEN contains(query, who) THEN 2 WHEN contains(reply, who) THEN 1 ELSE 0 END AS mention FROM q JOIN t USING (c)),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY mention DESC, turn DESC, id DESC) AS rank FROM m WHERE mention > 0)
 SELECT request_id, id, mention, rank FROM r WHERE rank <= 6""")
 def thread_relevance(spark: SparkSession, sf: str) -> DataFrame:
     who = F.repeat(F.lower("o_orderstatus"), 2)
-    open_ = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select((F.col("o_custkey") % 50).alias("conv_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), who.alias("by"), F.lit(None).cast("string").alias("to"), F.col("o_orderkey").alias("turn"), F.lit("open").alias("status"))
-    asked = table(spark, sf, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 50).alias("conv_id"), F.when(F.col("c_custkey") % 3 == 0, "1-URGENT now").otherwise("is oo here").alias("query"), F.lit("ff said").alias("reply"))
+    open_ = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.floor(F.col("o_custkey") / 30).alias("conv_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), who.alias("by"), F.lit(None).cast("string").alias("to"), F.col("o_orderkey").alias("turn"), F.lit("open").alias("status"))
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.floor(F.col("c_custkey") / 30).alias("conv_id"), F.when(F.col("c_custkey") % 3 == 0, "1-URGENT now").otherwise("is oo here").alias("query"), F.lit("ff said").alias("reply"))
     return retrieval.relevant_threads(asked, open_).select("request_id", "id", "mention", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("o81_fact_relevance", f"""WITH f AS (SELECT o_custkey % 50 AS c, o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'event' ELSE 'has_status' END AS predicate, lower(o_orderstatus) || 'x' AS who, o_orderpriority AS text, o_orderkey AS position FROM orders),
-q AS (SELECT c_custkey AS request_id, c_custkey % 50 AS c, CASE WHEN c_custkey % 2 = 0 THEN 'where is ox' ELSE '2-HIGH?' END AS query, 'the fx left' AS reply FROM customer WHERE c_custkey <= 200),
+@query("o81_fact_relevance", f"""WITH f AS (SELECT o_custkey // 30 AS c, o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'event' ELSE 'has_status' END AS predicate, lower(o_orderstatus) || 'x' AS who, o_orderpriority AS text, o_orderkey AS position FROM orders),
+q AS (SELECT c_custkey AS request_id, c_custkey // 30 AS c, CASE WHEN c_custkey % 2 = 0 THEN 'where is ox' ELSE '2-HIGH?' END AS query, 'the fx left' AS reply FROM customer),
 m AS (SELECT request_id, id, predicate, position, CASE WHEN contains(query, who) THEN 2.0 WHEN contains(reply, who) THEN 1.5 ELSE 0 END AS m,
     len(list_intersect({GRAMS.format(NORM.format("query"))}, {GRAMS.format(NORM.format("text"))})) / len({GRAMS.format(NORM.format("query"))}) + CASE predicate WHEN 'event' THEN 0.2 ELSE 0.3 END AS more FROM q JOIN f USING (c)),
 s AS (SELECT *, round(m + more, 4) AS score, row_number() OVER (PARTITION BY request_id, predicate = 'event' ORDER BY round(m + more, 4) DESC, position DESC, id) AS e FROM m WHERE m > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, position DESC, id) AS rank FROM s WHERE predicate <> 'event' OR e <= 4)
 SELECT request_id, id, score, rank FROM r WHERE rank <= 12""")
 def fact_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    facts = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("conv_id"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "event").otherwise("has_status").alias("predicate"),
+    facts = table(spark, sf, "orders").select(F.floor(F.col("o_custkey") / 30).alias("conv_id"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "event").otherwise("has_status").alias("predicate"),
         F.array(F.concat(F.lower("o_orderstatus"), F.lit("x"))).alias("names"), F.col("o_orderpriority").alias("text"), F.col("o_orderkey").alias("position"))
-    asked = table(spark, sf, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 50).alias("conv_id"), F.when(F.col("c_custkey") % 2 == 0, "where is ox").otherwise("2-HIGH?").alias("query"), F.lit("the fx left").alias("reply"))
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), F.floor(F.col("c_custkey") / 30).alias("conv_id"), F.when(F.col("c_custkey") % 2 == 0, "where is ox").otherwise("2-HIGH?").alias("query"), F.lit("the fx left").alias("reply"))
     return retrieval.relevant_facts(asked, facts).select("request_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
