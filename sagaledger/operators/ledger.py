@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import held
 from ._grouped import fold_groups
 
 
@@ -71,6 +72,70 @@ def is_append(old: DataFrame, new: DataFrame) -> DataFrame:
         F.bool_and(F.col("o").isNull() | F.col("o").eqNullSafe(F.col("n"))).alias("appended"), F.count("o").alias("start"))
 
 
+def chain_state(members: DataFrame) -> DataFrame:
+    """(conv_id, n, chain, turn, last_user, tail): all that an append needs of a chat's head, one row a chat.
+
+    chain is a hash of the versions in order, turn the last visible turn (-1: none), last_user whether the last visible message
+    is the user's, and tail the versions of the last turn and of the one before it, which later turn hashes hold.
+    """
+    rows = with_turns(members)
+    by = Window.partitionBy("conv_id")
+    last = F.max("turn").over(by)
+    rows = rows.withColumn("_last", last)
+    near = F.when(F.col("turn") >= F.col("_last") - 1, F.struct("position", "turn", "rev_hash"))
+    seen = F.when(F.col("turn").isNotNull(), F.struct("position", (F.col("role") == "user").alias("user")))
+    return rows.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"), chain_of(F.transform(F.array_sort(F.collect_list(F.struct("position", "rev_hash"))), lambda m: m["rev_hash"])).alias("chain"),
+        F.coalesce(F.max("turn"), F.lit(-1)).cast("int").alias("turn"), F.max(seen)["user"].alias("last_user"), F.array_sort(F.collect_list(near)).alias("tail"))
+
+
+def chain_of(hashes: Column, start: Column | None = None) -> Column:
+    """A hash of hashes in order, from that of what stands before them."""
+    return F.aggregate(hashes, F.lit("") if start is None else start, lambda at, h: F.sha2(F.concat(at, h), 256))
+
+
+def appended(state: DataFrame, listed: DataFrame, k: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rows, state): the messages that a manifest adds behind a head, with turn and turn_hash, and the state after them.
+
+    state: what chain_state() says of the heads.  listed: whole manifests, conv_id, position, rev_hash, role, disabled,
+    is_comment.  A manifest whose first n versions give the head's chain is an append: then only its tail is laid out, from
+    what the state carries, and no stored message is read.  Chats with a manifest that is no append, or whose tail hides what
+    comes before it, are in neither; they take the full way (changes()).
+    """
+    if k != 1:
+        raise ValueError("the state carries what turn hashes over one turn before need")
+    known = listed.join(state, "conv_id")
+    prefix = F.transform(F.array_sort(F.collect_list(F.when(F.col("position") < F.col("n"), F.struct("position", "rev_hash")))), lambda m: m["rev_hash"])
+    cuts = F.bool_or((F.col("position") >= F.col("n")) & F.coalesce(F.col("disabled") == "allBefore", F.lit(False)))
+    good = known.groupBy("conv_id", "chain").agg(prefix.alias("_p"), cuts.alias("_cut")).filter((chain_of(F.col("_p")) == F.col("chain")) & ~F.coalesce("_cut", F.lit(False))).select("conv_id")
+    tail = known.join(good, "conv_id", "left_semi").filter(F.col("position") >= F.col("n"))
+    inside = ~_off(F.col("disabled")) & ~F.coalesce("is_comment", F.lit(False))
+    tail = tail.withColumn("_in", inside)
+    by = Window.partitionBy("conv_id", "_in").orderBy("position")
+    user = F.col("role") == "user"
+    before = F.coalesce(F.lag(user).over(by), F.col("last_user"))
+    opens = before.isNull() | (user & ~before)
+    turn = F.col("turn") + F.sum(opens.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = tail.withColumn("_turn", F.when(F.col("_in"), turn)).drop("turn").withColumnRenamed("_turn", "turn")
+    # The turns that the tail touches or looks back on: those carried, and its own.
+    old = state.join(good, "conv_id", "left_semi").select("conv_id", F.explode("tail").alias("m")).select("conv_id", "m.position", "m.turn", "m.rev_hash", F.lit(None).cast("string").alias("role"))
+    both = old.unionByName(rows.filter("_in").select("conv_id", "position", F.col("turn").cast("int").alias("turn"), "rev_hash", "role"))
+    each = both.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("position", "rev_hash"))).alias("m"), F.max_by(F.struct("position", "role"), "position").alias("anchor"))
+    each = each.withColumn("s", F.array_join(F.transform("m", lambda x: x["rev_hash"]), ","))
+    frame = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-k, 0)
+    each = each.withColumn("window", F.array_join(F.collect_list("s").over(frame), "|"))
+    hashes = each.filter("anchor.role IS NOT NULL AND anchor.role <> 'user'").select("conv_id", F.col("anchor.position").alias("position"), F.substring(F.sha2(F.concat(F.lit("turn\n"), "window"), 256), 1, 32).alias("turn_hash"))
+    out = rows.join(hashes, ["conv_id", "position"], "left").select("conv_id", "position", "rev_hash", "role", F.col("turn").cast("int").alias("turn"), "turn_hash")
+    more = rows.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("_more"), F.transform(F.array_sort(F.collect_list(F.struct("position", "rev_hash"))), lambda m: m["rev_hash"]).alias("_h"),
+        F.max("turn").cast("int").alias("_turn"), F.max(F.when(F.col("_in"), F.struct("position", (F.col("role") == "user").alias("user"))))["user"].alias("_user"),
+        F.collect_list(F.when(F.col("_in"), F.struct("position", F.col("turn").cast("int").alias("turn"), "rev_hash"))).alias("_tail"))
+    now = F.coalesce("_turn", "turn")
+    last = F.array_sort(F.filter(F.concat("tail", "_tail"), lambda m: m["turn"] >= now - 1))
+    after = state.join(more, "conv_id").select("conv_id", (F.col("n") + F.col("_more")).alias("n"), chain_of(F.col("_h"), F.col("chain")).alias("chain"), now.alias("turn"), F.coalesce("_user", "last_user").alias("last_user"), last.alias("tail"))
+    return out, after
+
+
 def idempotent(observations: DataFrame, key: str = "idempotency_key") -> DataFrame:
     """Provisional observations, each key once: the earliest stays."""
     first = Window.partitionBy(key).orderBy("observed_at", "conv_id")
@@ -265,16 +330,42 @@ def membership_of(ops: DataFrame) -> DataFrame:
     return fold_groups(ops, ["conv_id"], ["seq"], fold, f"conv_id {kind}, position int, member string")
 
 
-def prefix_intact(commits: DataFrame, heads: DataFrame, upto: int, depth: int = 10_000) -> DataFrame:
-    """(conv_id, commit_id, intact): whether a commit's first positions survive up to the conversation's head.
+#: Rounds of ancestors(); each doubles how far a commit sees, so no chain of commits is longer.
+ANCESTOR_ROUNDS = 62
+
 
-    commits: conv_id, commit_id, parent_id, seq, changed (least position it changed; null for appends).  A commit is
-    intact if no later commit of the chain changed a position at or before upto; chains are lines, so a window over the
-    sequence says it without recursion.
+def ancestors(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """(conv_id, commit_id, least): the commits that a head descends from, itself included, each with the least position that
+    the commits between it and the head changed, the head's included (null: none).
+
+    commits: conv_id, commit_id, parent_id, changed; heads: conv_id, commit_id.  Commits branch, so the way up is followed by
+    pointer doubling: in round k every commit knows its ancestor 2**k steps up and the least change on the way, and the found
+    ones double.  As many rounds as a chain's length has binary digits, each of two joins on a commit's id.
+    """
+    jumps = held(commits.select("conv_id", "commit_id", F.col("parent_id").alias("up"), F.col("changed").alias("low")))
+    found = held(heads.select("conv_id", "commit_id").distinct().join(commits.select("conv_id", "commit_id"), ["conv_id", "commit_id"]).withColumn("least", F.lit(None).cast(dict(jumps.dtypes)["low"])))
+    for _ in range(ANCESTOR_ROUNDS):
+        steps = jumps.filter("up IS NOT NULL")
+        further = found.join(steps, ["conv_id", "commit_id"]).select("conv_id", F.col("up").alias("commit_id"), F.least("least", "low").alias("least"))
+        further = further.join(commits.select("conv_id", "commit_id"), ["conv_id", "commit_id"], "left_semi")
+        if further.isEmpty():
+            return found
+        found = held(found.unionByName(further))
+        beyond = jumps.select("conv_id", F.col("commit_id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
+        # A commit whose way ends within 2**k steps leads nowhere further.
+        jumps = held(steps.join(beyond, ["conv_id", "up"]).select("conv_id", "commit_id", F.col("_up").alias("up"), F.least("low", "_low").alias("low")))
+    raise ValueError("commits descend from themselves")
+
+
+def prefix_intact(commits: DataFrame, heads: DataFrame, upto: int) -> DataFrame:
+    """(conv_id, commit_id, intact): whether the head still shows the story up to a position as a commit did: it is the commit,
+    or descends from it through commits that changed only later positions.
+
+    commits: conv_id, commit_id, parent_id (null at a root), changed (the least position it changed; null for appends).  Heads:
+    conv_id, commit_id.  A commit that the head does not descend from is not intact.
     """
-    after = Window.partitionBy("conv_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    least = F.min("changed").over(after)
-    return commits.select("conv_id", "commit_id", (least.isNull() | (least > upto)).alias("intact"))
+    seen = ancestors(commits, heads).withColumn("intact", F.col("least").isNull() | (F.col("least") > upto))
+    return commits.select("conv_id", "commit_id").join(seen.drop("least"), ["conv_id", "commit_id"], "left").withColumn("intact", F.coalesce("intact", F.lit(False)))
 
 
 def positional_diff(base: Column, now: Column) -> Column:

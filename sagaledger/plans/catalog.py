@@ -145,8 +145,9 @@ def membership_replay(spark: SparkSession, sf: str) -> DataFrame:
     OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 50, true) AS intact FROM events""")
 def prefix_intact(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    commits = e.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("commit_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", F.floor("value")).alias("changed"))
-    return ledger.prefix_intact(commits, commits, 50)
+    parent = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    commits = e.select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("commit_id"), parent.alias("parent_id"), F.when(F.col("event_type") == "error", F.floor("value")).alias("changed"))
+    return ledger.prefix_intact(commits, commits.groupBy("conv_id").agg(F.max("commit_id").alias("commit_id")), 50)
 
 
 @query("o71_observation_diff", """WITH l AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
@@ -427,7 +428,14 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", fx.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-@query("o12_clean_pages")
+#: Of the markup that the pages have: what goes with its content, declarations, elements that end a line, other tags, entities.
+CLEANED = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<![^>]*>', '', 'g'), '(?i)</?(br|p|div|li|tr|h[1-6]|details|summary|table|section)(\s[^<>]*)?/?>', chr(10), 'g'), '</?[a-zA-Z][^<>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM b)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '[ \t\x{A0}]+', ' ', 'g'), ' ')), lambda l: l <> ''), chr(10)) AS text FROM c"""
+
+
+@query("o12_clean_pages", CLEANED)
 def clean_pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", fx.clean_text("html").alias("text"))
 
@@ -468,16 +476,49 @@ def broad_abstains(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.lexical_index(requests, corpus, broad=3).groupBy("request_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("o73_word_similarity")
+def _extents(name: str, pairs: str) -> str:
+    """SQL tables ending in one named so, (k, sim): the word similarity of rows (k, want, seq), extent by extent."""
+    return f"""{name}_s AS (SELECT k, len(want) AS n, list_contains(want, g) AS hit, g, pos FROM (SELECT k, want, unnest(seq) AS g, unnest(range(1, len(seq) + 1)) AS pos FROM {pairs})),
+{name}_m AS (SELECT k, n, hit, pos, hit AND NOT coalesce(lag(hit) OVER (PARTITION BY k ORDER BY pos), false) AS begins, coalesce(lag(pos) OVER (PARTITION BY k, g ORDER BY pos), 0) AS prev FROM {name}_s),
+{name}_e AS (SELECT e.k, e.n, sum(CASE WHEN e.prev < b.pos AND e.hit THEN 1 ELSE 0 END) OVER w AS s, sum(CASE WHEN e.prev < b.pos AND NOT e.hit THEN 1 ELSE 0 END) OVER w AS o
+    FROM {name}_m b JOIN {name}_m e ON e.k = b.k WHERE b.begins AND e.pos >= b.pos WINDOW w AS (PARTITION BY e.k, b.pos ORDER BY e.pos)),
+{name} AS (SELECT k, max(s / (n + o)) AS sim FROM {name}_e GROUP BY k)"""
+
+
+_IN_ORDER = "flatten(list_transform({}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))"
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+SIMILAR = REQUESTS + f""", xs AS (SELECT conv_id, turn, {_IN_ORDER.format("words")} AS seq FROM t), up AS (SELECT conv_id, upto FROM last),
+replies AS (SELECT c.conv_id, arg_max(c.text, c.turn) AS reply FROM conversations c JOIN up USING (conv_id) WHERE c.role = 'assistant' AND c.turn < upto GROUP BY 1),
+p AS (SELECT {{'c': conv_id, 't': turn}} AS k, qg.g AS want, xs.seq FROM k JOIN qg USING (conv_id) JOIN xs USING (conv_id, turn)), {_extents("u", "p")},
+h AS (SELECT k, sim, count(*) OVER (PARTITION BY k.c) AS n FROM u WHERE sim >= 0.4), good AS (SELECT k, sim FROM h WHERE n <= 200),
+rp AS (SELECT k, list_distinct({_IN_ORDER.format(_WORDS.format("reply"))}) AS want, seq FROM good JOIN xs ON xs.conv_id = k.c AND xs.turn = k.t JOIN replies ON replies.conv_id = k.c), {_extents("v", "rp")},
+f AS (SELECT good.k, good.sim AS user_score, good.sim + 0.2::DOUBLE * coalesce(v.sim, 0) AS score FROM good LEFT JOIN v ON v.k = good.k)
+SELECT k.c AS request_id, k.c || ':' || k.t AS rev_id, round(user_score, 6) AS user_score, round(score, 6) AS score, row_number() OVER (PARTITION BY k.c ORDER BY score DESC, k.t DESC) AS rank FROM f"""
+
+
+@query("o73_word_similarity", SIMILAR)
 def word_similarity(spark: SparkSession, sf: str) -> DataFrame:
     requests, corpus = _requests(spark, sf)
     return retrieval.lexical(requests, corpus).select("request_id", "rev_id", F.round("user_score", 6).alias("user_score"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
-@query("o75_keyword_route")
+#: Latin words only, for no message of the tables has Korean letters.
+KEYWORDS = REQUESTS + f""", w AS (SELECT conv_id, list_filter(regexp_extract_all(lower(query), '[0-9a-z가-힣]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains(['the', 'and', 'what', 'who', 'where', 'when', 'why', 'how', 'was', 'were', 'did', 'does', 'is', 'are', 'you', 'that', 'this', 'with', 'about', 'now'], x)) AS k FROM last),
+d AS (SELECT conv_id, list_filter(k, lambda x, i: list_position(k, x) = i) AS k FROM w),
+y AS (SELECT conv_id, unnest(list_transform(list_sort(list_transform(k, lambda x, i: lpad(CAST(999 - length(x) AS VARCHAR), 3, '0') || lpad(CAST(i AS VARCHAR), 9, '0') || x))[1:4], lambda x: substring(x, 13))) AS word FROM d),
+xs AS (SELECT conv_id, turn, {_IN_ORDER.format("words")} AS seq FROM t), yg AS (SELECT conv_id, word, list_distinct({_IN_ORDER.format("[word]")}) AS want FROM y),
+p AS (SELECT {{'c': conv_id, 'w': word, 't': turn}} AS k, want, seq FROM yg JOIN xs USING (conv_id) WHERE len(list_intersect(want, seq)) >= 0.8 * len(want)), {_extents("u", "p")},
+found AS (SELECT k.c AS conv_id, k.w AS word, k.t AS turn FROM u WHERE sim >= 0.8), size AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+df AS (SELECT conv_id, word, count(*) AS df FROM found GROUP BY ALL), wt AS (SELECT conv_id, word, ln(n / df) AS weight FROM df JOIN size USING (conv_id) WHERE df <= 200 AND df * 2 <= n),
+sc AS (SELECT conv_id, turn, round(sum(weight), 4) AS s FROM found JOIN wt USING (conv_id, word) GROUP BY ALL)
+SELECT conv_id AS request_id, conv_id || ':' || turn AS rev_id, s AS keyword_score, row_number() OVER (PARTITION BY conv_id ORDER BY s DESC, turn DESC) AS rank FROM sc WHERE s > 0"""
+
+
+@query("o75_keyword_route", KEYWORDS)
 def keyword_route(spark: SparkSession, sf: str) -> DataFrame:
     requests, corpus = _requests(spark, sf)
-    return retrieval.keyword_route(requests, corpus).select("request_id", "rev_id", "keyword_score", "rank")
+    return retrieval.keyword_route(requests, corpus).select("request_id", "rev_id", "keyword_score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("o77_vector_search", """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),

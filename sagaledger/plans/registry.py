@@ -21,13 +21,13 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog, catalog_more  # noqa: F401  they register their queries
+    from . import catalog, catalog_more, catalog_timeline  # noqa: F401  they register their queries
 
     return _QUERIES
 
 
 def oracles() -> dict[str, str]:
-    from . import catalog, catalog_more  # noqa: F401
+    from . import catalog, catalog_more, catalog_timeline  # noqa: F401
 
     return _ORACLES
 
