@@ -104,6 +104,11 @@ def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_license_scan(spark, sf_dir).drop("labels", "score")
 
 
+def secret_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7 what the contract fixes, for its SQL."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
 def rule_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op9 what the contract fixes, for its SQL."""
     return op9_quality_rules(spark, sf_dir).drop("kept")
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "license_base_columns": license_base_columns,
     "rule_base_columns": rule_base_columns,
+    "secret_base_columns": secret_base_columns,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -165,6 +171,16 @@ p AS (SELECT doc_id, len(w) AS n_words, list_filter(range(0, len(w)), lambda i:
     list_filter(range(0, len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 1:i + 3] = ['cc', 'by', 'nc']) AS c FROM w)
 SELECT doc_id, n_words, len(m) + len(a) + len(c) AS n_base, list_min(list_concat(m, a, c)) AS first_word, list_max(list_concat(m, a, c)) AS last_word,
     array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels FROM p""",
+    # Where a match stands is what lies before it: the pieces between matches, and the matches.
+    "secret_base_columns": r"""
+        WITH p(kind, name, pattern) AS (VALUES (0, 'assign', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'access', '(AKIA[A-Z0-9]{16,})'), (2, 'hex', '([0-9a-f]{24,})')),
+d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+m AS (SELECT row, kind, name, regexp_extract_all(t, pattern) AS m, regexp_extract_all(t, pattern, 1) AS v, string_split_regex(t, pattern) AS b FROM d, p),
+e AS (SELECT row, kind, name, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(b[1:len(m)]) AS b FROM m),
+x AS (SELECT row, kind, name, v, sum(length(b) + length(m)) OVER (PARTITION BY row, kind ORDER BY i) AS e, length(m) AS n FROM e),
+k AS (SELECT row, kind, name, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM x WHERE kind > 0 OR length(v) >= 6),
+g AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS l FROM k GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(l, '')) AS base_sha256 FROM d LEFT JOIN g USING (row)""",
     "rule_base_columns": r"""
         WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 x AS (SELECT doc_id, t, w, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g, list_filter(string_split(t, chr(10)), lambda l: regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g') <> '') AS lines FROM w),

@@ -349,13 +349,17 @@ def _gated(texts: Texts) -> np.ndarray:
     return gate
 
 
+#: Letters and digits of what a found span has outside of base spans, at least: less is a closing quote, a mark, the rest of a word.
+PART_MIN = 6
+
+
 def _outside(raw: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The parts of a found span outside of the base ones, which are sorted by start; no white space at their edges, and none
-    of white space, quotes, brackets and the like alone."""
+    of fewer than PART_MIN letters and digits."""
     parts, at = [], 0
     for a, b in [*base, (len(raw), len(raw))]:
         part = raw[at : max(a, at)]
-        if part.strip(_STRIP + " \t\n\v\f\r"):
+        if sum(map(str.isalnum, part)) >= PART_MIN:
             parts.append((at + len(part) - len(part.lstrip()), at + len(part.rstrip())))
         at = max(at, b)
     return parts
