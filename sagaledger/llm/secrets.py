@@ -349,8 +349,8 @@ def _gated(texts: Texts) -> np.ndarray:
     return gate
 
 
-#: Letters and digits of what a found span has outside of base spans, at least: less is a closing quote, a mark, the rest of a word.
-PART_MIN = 6
+#: Letters and digits of what a found span has outside of base spans, at least: less is a closing quote, or marks behind a word.
+PART_MIN = 4
 
 
 def _outside(raw: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
