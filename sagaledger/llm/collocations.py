@@ -11,10 +11,11 @@ times get numbers, which go to all tasks: their number and length are bounded.
 one, a suffix ends before any other word, for no candidate holds such a word; else other words are carried spelled out.  A
 task's suffixes with the same first word are one row with an array of numbers.
 
-Skew.  A first word with more than GROUP suffixes is dealt by its second word to as many tasks as that takes.  A pair of words
-with more than one in HOT of all words is dealt by place.  A task takes at most CHUNK suffixes at a time.  Where a phrase's rows
-may lie in several of these, its partial counts all go on, and are added up at the end; any other phrase is complete where it is
-counted, so only those that occur MIN_COUNT times go on.  Which it is decides the work, never the result.
+Skew.  A first word with more than GROUP suffixes is dealt by its second word to as many tasks as that takes, and a pair of
+words with more than PAIR by its third.  A task sorts some CHUNK suffixes at a time, whole groups of them where a group has no
+more than PAIR.  Where a phrase's rows may lie in several groups or chunks, its partial counts all go on, and are added up at
+the end; any other phrase is complete where it is counted, so only those that occur MIN_COUNT times go on.  Which it is decides
+the work, never the result.
 
 Defined results: a null text has no words; a null language is ``und``; rows that repeat are counted as often as they come; an
 empty table gives an empty result; columns other than text and lang are not read.
@@ -35,9 +36,9 @@ from ._text import Texts, Words, buffers, release, span_hashes, steps
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Words with a number at most, and their bytes at most.
 DICTIONARY, WORD_BYTES = 1 << 17, 64
-#: Suffixes of a first word that one task takes; suffixes that are sorted at a time; a pair with a greater share than one in HOT
-#: is dealt by place, to SPREAD tasks.
-GROUP, CHUNK, HOT, SPREAD = 1 << 19, 1 << 18, 50_000, 64
+#: Suffixes of a first word in a group, and of a pair of words; both are more where that would make more than HOT of them.
+#: Suffixes that are sorted at a time, and groups that a pair is dealt to.
+GROUP, PAIR, HOT, CHUNK, SPREAD = 1 << 17, 1 << 20, 50_000, 1 << 18, 64
 STEP_BYTES = 4 << 20
 #: Languages whose totals are broadcast.
 LANGUAGES = 10_000
@@ -121,9 +122,9 @@ class Plan:
         self.complete = len(self.words) < DICTIONARY and often.filter(F.octet_length("word") > WORD_BYTES).isEmpty()
         total = words.agg(F.sum("n")).first()[0] or 0
         #: A language's words with more than GROUP suffixes, of which there are fewer than all words over GROUP, and at most HOT.
-        bar = max(GROUP, total // HOT)
+        bar, pair_bar = max(GROUP, total // HOT), max(PAIR, total // HOT)
         self.split = {(r.lang, r.word): -(-r.n // bar) for r in words.filter(F.col("n") > bar).collect()}
-        hot = counts.filter(F.col("second").isNotNull() & (F.col("n") > bar))
+        hot = counts.filter(F.col("second").isNotNull() & (F.col("n") > pair_bar))
         self.hot = {(r.lang, r.word, r.second) for r in hot.orderBy(F.desc("n")).limit(HOT).collect()}
 
 
@@ -134,8 +135,7 @@ def _suffixes(docs: DataFrame, plan: Plan, max_words: int) -> DataFrame:
     """(lang, first, salt, whole, rest, spelled): suffixes of a step with the same first word.
 
     rest has max_words - 1 numbers for each suffix: a word's number, -1 after the end, or DICTIONARY and more for a word in
-    spelled.  whole says which of a phrase's counts are complete in the rows of one salt: 1 all; 2 those of two words and more;
-    0 none.
+    spelled.  A phrase of `whole` words and more has all its suffixes in the rows of one salt.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,17 +156,18 @@ def _suffixes(docs: DataFrame, plan: Plan, max_words: int) -> DataFrame:
                 continue
             d = len(s.words)
             lang, first, second = s.lang[starts], s.word[starts], s.word[starts + 1]
-            salt, whole, place = np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64), _places(s)
+            salt, whole, place = np.zeros(len(starts), np.int64), np.full(len(starts), 2), _places(s)
             fan = np.zeros(len(s.langs) * d, np.int64)
             for (name, w), k in plan.split.items():
                 if name in s.langs and w in place:
                     fan[s.langs.index(name) * d + place[w]] = k
             k = fan[lang * d + first]
             at = np.flatnonzero(k)
-            salt[at], whole[at] = 1 + (s.hashes[second[at]] % k[at].astype(np.uint64)).astype(np.int64), 2
+            salt[at] = 1 + (s.hashes[second[at]] % k[at].astype(np.uint64)).astype(np.int64)
             hot = [(s.langs.index(name) * d + place[a]) * d + place[b] for name, a, b in plan.hot if name in s.langs and a in place and b in place]
             at = np.flatnonzero(np.isin((lang * d + first) * d + second, hot))
-            salt[at], whole[at] = -1 - at % SPREAD, 0
+            third = np.where(rest[starts[at], 1] == _NONE, 0, s.hashes[s.word[np.minimum(starts[at] + 2, s.n - 1)]] % np.uint64(SPREAD)).astype(np.int64)
+            salt[at], whole[at] = -1 - third, 3
             order = np.lexsort((salt, first, lang))
             lang, first, salt, whole, body = lang[order], first[order], salt[order], whole[order], rest[starts[order]]
             edge = np.concatenate([[True], (lang[1:] != lang[:-1]) | (first[1:] != first[:-1]) | (salt[1:] != salt[:-1])])
@@ -202,7 +203,7 @@ def prefix_counts(keys: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.nd
     """
     order = np.lexsort((*(rest[:, k] for k in range(rest.shape[1] - 1, -1, -1)), keys))[::-1]
     keys, rest = keys[order], rest[order]
-    shares = np.zeros(len(keys), np.int64)
+    shares = np.zeros(len(keys), np.int8)
     same = keys[1:] == keys[:-1]
     shares[1:][same] = 1
     for k in range(rest.shape[1]):
@@ -224,50 +225,50 @@ def phrase_counts(docs: DataFrame, plan: Plan, max_words: int, min_count: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, own, broken = 0, 0, None  # suffixes held, those of the last group, and a group whose rows a chunk has left
 
         def flush(cut: bool) -> Iterator[pa.RecordBatch]:
             """Count what is held; cut says that more rows of the last group follow."""
-            nonlocal held, size
+            nonlocal held, size, own, broken
             if not held:
                 return
-            groups = [(lang, first, salt) for lang, first, salt, *_ in held]
+            groups = [row[:3] for row in held]
             number: dict[tuple, int] = {}
-            group = np.array([number.setdefault(g, len(number)) for g in groups])
-            bodies = [np.frombuffer(rest, "<i4").reshape(-1, max_words - 1).astype(np.int64) for *_, rest, _ in held]
+            group = np.array([number.setdefault(g, len(number)) for g in groups], np.int32)
+            bodies = [np.frombuffer(row[4], "<i4").reshape(-1, max_words - 1) for row in held]
             far: dict[str, int] = {}
-            for body, (*_, spelled) in zip(bodies, held):
-                if spelled:
-                    to = np.array([far.setdefault(w, len(far)) for w in spelled])
-                    at = body >= DICTIONARY
-                    body[at] = DICTIONARY + to[body[at] - DICTIONARY]
-            sizes = np.array([len(b) for b in bodies])
-            keys, rest = np.repeat(group, sizes), np.concatenate(bodies)
+            for i, row in enumerate(held):
+                if row[5]:
+                    to = np.array([far.setdefault(w, len(far)) for w in row[5]], np.int32)
+                    bodies[i] = np.where(bodies[i] >= DICTIONARY, DICTIONARY + to[np.maximum(bodies[i] - DICTIONARY, 0) % len(to)], bodies[i])
+            keys, rest = np.repeat(group, [len(b) for b in bodies]), np.concatenate(bodies)
+            del bodies
             row, words, count = prefix_counts(keys, rest)
-            whole = {number[g]: h[3] for g, h in zip(groups, held)}
-            # the first group of a chunk may have begun before, and the last may go on
-            parted = np.array([whole[g] == 0 for g in range(len(number))])
-            if self_cut[0] is not None and self_cut[0] in number:
-                parted[number[self_cut[0]]] = True
-            if cut:
-                parted[number[groups[-1]]] = True
-            self_cut[0] = groups[-1] if cut else None
-            keep = (count >= min_count) | parted[keys[row]]
+            # Phrases of so many words are counted here for good; none are in a group that other chunks have rows of.
+            whole = np.array([2] * len(number))
+            whole[group] = [r[3] for r in held]
+            for g in (broken, groups[-1] if cut else None):
+                if g in number:
+                    whole[number[g]] = max_words + 1
+            broken = groups[-1] if cut else None
+            keep = (count >= min_count) | (words < whole[keys[row]])
             row, words, count = row[keep], words[keep], count[keep]
             names, spelled_out = list(number), list(far)
             said = lambda c: plan.words[c] if c < DICTIONARY else spelled_out[c - DICTIONARY]
             phrases = [" ".join([names[g][1], *map(said, codes[: w - 1])]) for g, w, codes in zip(keys[row].tolist(), words.tolist(), rest[row].tolist())]
             langs = [names[g][0] for g in keys[row].tolist()]
-            held, size = [], 0
+            held, size, own = [], 0, 0
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(words.astype(np.int32)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "words", "n"])
 
-        self_cut: list[tuple | None] = [None]
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "salt", "whole", "rest", "spelled"))):
-                if size >= CHUNK:
-                    yield from flush(row[:3] == held[-1][:3])
+                goes_on = bool(held) and row[:3] == held[-1][:3]
+                if size >= CHUNK and not goes_on or own >= PAIR:
+                    yield from flush(goes_on)
+                    goes_on = False
                 held.append(row)
-                size += len(row[4]) // (4 * (max_words - 1))
+                many = len(row[4]) // (4 * (max_words - 1))
+                size, own = size + many, own * goes_on + many
         yield from flush(False)
         release()
 

@@ -50,7 +50,7 @@ def got(df):
 
 @pytest.mark.parametrize("dictionary, group, chunk, hot", [(1 << 17, 1 << 19, 1 << 18, 50_000), (3, 1 << 19, 50, 50_000), (1 << 17, 40, 64, 30), (4, 10, 7, 20)])
 def test_phrases_equal_brute_force(spark, monkeypatch, dictionary, group, chunk, hot):
-    for name, value in (("DICTIONARY", dictionary), ("GROUP", group), ("CHUNK", chunk), ("HOT", hot), ("SPREAD", 3)):
+    for name, value in (("DICTIONARY", dictionary), ("GROUP", group), ("PAIR", group), ("CHUNK", chunk), ("HOT", hot), ("SPREAD", 3)):
         monkeypatch.setattr(collocations, name, value)
     data = drawn(hot)
     docs = spark.createDataFrame(data, "text string, lang string").repartition(5)
