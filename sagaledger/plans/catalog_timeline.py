@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import folds, ledger, repairs, stories
+from ..operators import compaction, folds, ledger, repairs, stories, variants
 from ..sources.tables import messages, table
 from .catalog import HEAD, query
 
@@ -148,3 +148,43 @@ def append_tail(spark: SparkSession, sf: str) -> DataFrame:
     state = ledger.chain_state(m.withColumn("_n", n).filter("position < _n").drop("_n"))
     rows, _ = ledger.appended(state, m.select("conv_id", "position", "rev_hash", "role", "disabled", "is_comment"))
     return rows.select("conv_id", "position", "turn", "turn_hash")
+
+
+# ---------------------------------------------------------------- compaction and names
+
+
+def _observed(spark: SparkSession, sf: str) -> DataFrame:
+    """After each of a customer's orders the list of all so far, in which some priorities are replaced by the order's number."""
+    o = table(spark, sf, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    sofar = o.select(F.col("o_custkey").alias("conv_id"), F.row_number().over(w).alias("obs_id"), F.collect_list("o_orderpriority").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("p"))
+    return sofar.select("conv_id", "obs_id", F.transform("p", lambda x, i: F.when((i % 4 == 0) & (F.floor(F.col("obs_id") / 3) % 2 == 1), F.floor(F.col("obs_id") / 3).cast("string")).otherwise(x)).alias("entries"))
+
+
+@query("o71_compaction", """WITH RECURSIVE s AS (SELECT o_custkey AS c, row_number() OVER w AS k, array_agg(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+o AS (SELECT c, k, list_transform(p, lambda x, i: CASE WHEN (i - 1) % 4 = 0 AND k // 3 % 2 = 1 THEN CAST(k // 3 AS VARCHAR) ELSE x END) AS e FROM s),
+d AS (SELECT a.c, a.k AS a, b.k AS b, len(list_filter(b.e, lambda x, i: a.e[i] IS DISTINCT FROM x)) AS n, len(b.e) AS m FROM o a JOIN o b ON a.c = b.c AND a.k < b.k),
+nx AS (SELECT c, a, min(b) AS b FROM d WHERE n > 0.25 * m GROUP BY 1, 2), r AS (SELECT c, min(k) AS k FROM o GROUP BY 1 UNION ALL SELECT r.c, nx.b FROM r JOIN nx ON nx.c = r.c AND nx.a = r.k),
+z AS (SELECT o.c, o.k, max(r.k) AS base FROM o JOIN r ON r.c = o.c AND r.k <= o.k GROUP BY 1, 2)
+SELECT z.c AS conv_id, z.k AS obs_id, CASE WHEN base < z.k THEN base END AS base_id, CASE WHEN base < z.k THEN d.n END AS changed FROM z LEFT JOIN d ON d.c = z.c AND d.a = z.base AND d.b = z.k""")
+def compaction_(spark: SparkSession, sf: str) -> DataFrame:
+    rows = compaction.compacted(_observed(spark, sf))
+    return rows.select("conv_id", F.col("obs_id").cast("bigint").alias("obs_id"), F.col("base_id").cast("bigint").alias("base_id"), F.size("changed").cast("bigint").alias("changed")).withColumn("changed", F.when(F.col("base_id").isNotNull(), F.col("changed")))
+
+
+SYLLABLES = ("가", "나", "다", "라", "마", "바", "사", "자", "하", "고")
+
+
+@query("o86_name_variants", """WITH c AS (SELECT c_nationkey AS n, c_custkey AS id, c_custkey // 2 % 100 AS d FROM customer), s AS (SELECT ['가', '나', '다', '라', '마', '바', '사', '자', '하', '고'] AS s)
+SELECT n AS request_id, CAST(min(id) AS VARCHAR) AS entity_id, s[d // 10 + 1] || s[d % 10 + 1] AS variant FROM c, s GROUP BY n, d, s HAVING count(*) = 1""")
+def name_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with even keys have full Korean names, the others names in Latin letters; each nation's message says all names."""
+    from ..operators.entities import romanized
+
+    c = table(spark, sf, "customer").withColumn("d", F.floor(F.col("c_custkey") / 2) % 100)
+    two = lambda spelled: F.concat(*[F.element_at(F.array(*map(F.lit, spelled)), (digit + 1).cast("int")) for digit in (F.floor(F.col("d") / 10), F.col("d") % 10)])
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("백"), two(SYLLABLES))).otherwise(F.initcap(two([romanized(x) for x in SYLLABLES])))
+    entities_ = c.select(F.col("c_nationkey").alias("conv_id"), F.col("c_custkey").alias("entity_id"), F.lit("character").alias("type"), name.alias("name"), F.lit(False).alias("persona"))
+    none = F.array().cast("array<string>")
+    words = c.select("c_nationkey", F.concat(two(SYLLABLES), F.lit("은")).alias("w")).groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_set("w")), " ").alias("text"))
+    return variants.variants(words.select(F.col("c_nationkey").alias("request_id"), F.col("c_nationkey").alias("conv_id"), "text", none.alias("persona_names"), none.alias("marked")), entities_)

@@ -134,3 +134,79 @@ def test_an_edit_or_a_cut_is_no_append(spark):
     new = spark.createDataFrame([(c, p, "edited" if (c, p) == (1, 1) else f"h{p}", "user" if p % 2 == 0 else "char", "allBefore" if (c, p) == (2, 4) else None, False) for c in (1, 2, 3) for p in range(5)], schema)
     rows, _ = ledger.appended(ledger.chain_state(old), new)
     assert {(r.conv_id, r.position) for r in rows.collect()} == {(3, 3), (3, 4)}
+
+
+def test_compaction_rebuilds_every_observation(spark):
+    from sagaledger.operators import compaction
+
+    rng = random.Random(4)
+    rows = []
+    for conv in range(5):
+        entries = [f"a{i}" for i in range(rng.randint(0, 12))]
+        for k in range(rng.randint(1, 15)):
+            rows.append((conv, k, list(entries)))
+            for _ in range(rng.choice([0, 1, 1, 4])):
+                if entries and rng.random() < 0.6:
+                    entries[rng.randrange(len(entries))] = rng.choice([f"x{k}", None])
+                elif rng.random() < 0.5:
+                    entries.append(f"n{k}")
+                else:
+                    entries = entries[:-1]
+    obs = spark.createDataFrame(rows, "conv_id int, obs_id int, entries array<string>")
+    got = held_rows = compaction.compacted(obs).collect()
+    want, base = set(), {}
+    for conv, k, e in rows:
+        b = base.get(conv)
+        diff = 0 if b is None else sum(i >= len(b[1]) or b[1][i] != x for i, x in enumerate(e))
+        if b is None or diff > 0.25 * max(1, len(e)):
+            base[conv] = (k, e)
+            want.add((conv, k, None, None))
+        else:
+            want.add((conv, k, b[0], diff))
+    assert {(r.conv_id, r.obs_id, r.base_id, None if r.changed is None else len(r.changed)) for r in got} == want
+    back = compaction.rebuilt(compaction.compacted(obs))
+    assert {(r.conv_id, r.obs_id): r.entries for r in back.collect()} == {(c, k): e for c, k, e in rows}
+    assert len(held_rows) == len(rows)
+
+
+def variants_by_hand(names, persona, marked, text):
+    """Request by request and name by name."""
+    import re
+
+    from sagaledger.functions.text import name_norm
+    from sagaledger.operators.variants import FAMILY, name_keys, word_keys
+
+    given = lambda n: n[1:] if len(n) == 3 and n[0] in FAMILY and re.fullmatch("[가-힣]+", n) else None
+    own = [(i, t, name_norm(n), p) for i, t, n, p in names]
+    persona = {name_norm(n) for n in persona}
+    held = {n for _, _, n, _ in own}
+    own += [(f"mark:{n}", "character", n, False) for n in {name_norm(m) for m in marked} - held - persona]
+    taken = {n for _, _, n, _ in own} | persona | {given(n) for n in persona}
+    people = [(i, n) for i, t, n, p in own if t == "character" and not p]
+    owners = {}
+    for i, n in people:
+        if given(n):
+            owners.setdefault(given(n), set()).add(i)
+    for run in set(re.findall("[가-힣]+", text)):
+        for size in (4, 3, 2):
+            found = {i for i, n in people if len(run) >= size and set(name_keys(n)) & set(word_keys(run[:size]))}
+            if found:
+                owners.setdefault(run[:size], set()).update(found)
+                break
+    return {(next(iter(ids)), w) for w, ids in owners.items() if len(ids) == 1 and w not in taken}
+
+
+def test_name_variants(spark):
+    from sagaledger.operators import variants
+
+    assert variants.folded("Ha-jin") == "hajin" and set(variants.word_keys("하진")) == {"hajin"} and "bargsujin" in variants.word_keys("박수진") and "bagsujin" in variants.word_keys("박수진")
+    names = [("1", "character", "백이안", False), ("2", "character", "Hajin", False), ("3", "character", "Park Soo-jin", False), ("4", "character", "김하진", False), ("5", "place", "서울", False), ("6", "character", "이서윤", True), ("7", "character", "최서울", False), ("8", "character", "Minho", False)]
+    asked = [(1, "하진이 왔다. 이안은 박수진을 봤다", ["이서윤"], []), (2, "수진에게 민호가", ["오민호"], ["정다은", "백이안"]), (3, "nothing in Hangul", [], ["Jihoon"]), (4, "지훈은 서윤과", ["서윤"], ["Jihoon"])]
+    entities = spark.createDataFrame([(1, *n) for n in names], "conv_id int, entity_id string, type string, name string, persona boolean")
+    requests = spark.createDataFrame([(r, 1, t, p, m) for r, t, p, m in asked], "request_id int, conv_id int, text string, persona_names array<string>, marked array<string>")
+    got = {}
+    for r in variants.variants(requests, entities).collect():
+        got.setdefault(r.request_id, set()).add((r.entity_id, r.variant))
+    assert got == {r: w for r, t, p, m in asked if (w := variants_by_hand(names, p, m, t))}
+    assert ("1", "이안") in got[1] and ("3", "박수진") in got[1] and not any(v == "하진" for _, v in got[1]), "two characters share a spelling"
+    assert ("mark:jihoon", "지훈") in got[4]
