@@ -63,3 +63,43 @@ def test_windowed_counts_close_with_the_watermark(spark, tmp_path):
     got = {(r.start, r.event_type): r.n for r in spark.table("windows").collect()}
     want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").start.alias("start"), "event_type").count().collect()
     assert got == {(r["start"], r.event_type): r["count"] for r in want}
+
+
+def test_swapped_rows_and_swapped_files_are_noticed(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+
+    monkeypatch.setattr(archive, "FILE_LINES", 60)
+    rows = spark.range(200).selectExpr("id", "concat('row ', id) AS text").repartition(4)
+    for change in ("rows", "files", "none"):
+        path = str(tmp_path / change)
+        archive.write_archive({"t": rows}, path, {"t": ["id"]})
+        parts = sorted(f for f in glob.glob(f"{path}/t/part-*") if os.path.getsize(f))
+        for crc in glob.glob(f"{path}/t/.*.crc"):
+            os.remove(crc)
+        if change == "rows":
+            lines = open(parts[0]).read().splitlines()
+            lines[1], lines[2] = lines[2], lines[1]
+            open(parts[0], "w").write("\n".join(lines) + "\n")
+        if change == "files":
+            os.rename(parts[0], path + "/x")
+            os.rename(parts[-1], parts[0])
+            os.rename(path + "/x", parts[-1])
+        if change == "none":
+            assert archive.read_archive(spark, path)["t"].count() == 200 and archive.differing(spark, path, "t").count() == 0
+            continue
+        with pytest.raises(ValueError, match="differs"):
+            archive.read_archive(spark, path)
+        assert {r.file for r in archive.differing(spark, path, "t").collect()} == {os.path.basename(f) for f in ([parts[0]] if change == "rows" else [parts[0], parts[-1]])}
+
+
+def test_a_store_is_swapped_whole_or_not_at_all(spark, tmp_path):
+    target, refs = str(tmp_path / "store"), [("message", "conv_id", "conversation", "conv_id")]
+    make = lambda n, orphans=0: {"conversation": spark.range(n).selectExpr("id AS conv_id"), "message": spark.range(n + orphans).selectExpr("id AS conv_id", "id * 2 AS n")}
+    assert archive.swap_in(spark, target, make(3), refs) == 1
+    with pytest.raises(ValueError, match="2 rows of message"):
+        archive.swap_in(spark, target, make(5, 2), refs)
+    assert archive.stored_tables(spark, target, ["message"])["message"].count() == 3
+    assert [archive.swap_in(spark, target, make(n), refs) for n in (4, 5)] == [2, 3]
+    assert archive.stored_tables(spark, target, ["message"])["message"].count() == 5
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == ["v-00000002", "v-00000003"]
