@@ -574,6 +574,29 @@ def recall_query(spark: SparkSession, sf: str) -> DataFrame:
     return recall(spark, sf)
 
 
+@query("o97_recall_all_routes")
+def recall_all_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall with every route and every part of a memory: vectors of messages and requests (each has one of the table's, by a
+    hash of its id), values that later messages replaced, the story, scenes, state and cast."""
+    requests, corpus = _requests(spark, sf)
+    v = table(spark, sf, "embeddings")
+    n = v.count()
+    vector = v.select(F.col("vec_id").alias("_v"), "embedding")
+    of = lambda c: F.pmod(F.crc32(c.cast("binary")), F.lit(n))
+    vectors = corpus.withColumn("_v", of(F.col("rev_id"))).join(vector, "_v").select("conv_id", "rev_id", "position", "embedding")
+    requests = requests.withColumn("_v", of(F.concat_ws(":", "conv_id", "upto"))).join(vector, "_v").drop("_v")
+    word = F.get(F.filter(F.split(F.regexp_replace("text", r"[^\p{L}]+", " "), " "), lambda x: F.length(x) >= 4), F.lit(0))
+    history = corpus.filter("position = 1").select("conv_id", F.substring("text", 1, 60).alias("old_value"), F.lit("nothing of the kind").alias("new_value"), F.lit(3).alias("turn"))
+    first = corpus.withColumn("name", word).filter("name IS NOT NULL")
+    memory = _memory(corpus)
+    memory.vectors, memory.history = vectors, history
+    memory.story = corpus.filter("position = 0").select("conv_id", F.substring("text", 1, 200).alias("text"))
+    memory.scenes = corpus.select("conv_id", F.col("position").alias("window"), F.substring("text", 1, 80).alias("text"))
+    memory.state = first.groupBy("conv_id", F.lower("name").alias("key")).agg(F.max_by(F.length("text").cast("string"), "position").alias("value"), F.max("position").alias("position"))
+    memory.cast = first.select("conv_id", F.xxhash64("rev_id").alias("id"), F.array("name").alias("names"), F.concat("name", F.lit(" was there")).alias("text"))
+    return recall_.retrieve(requests, corpus, memory)
+
+
 @query("o93_prefix_fit", """WITH c AS (SELECT conv_id, turn, sum(ceil(length(text) / 4.0)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations)
 SELECT conv_id, turn, CAST(used AS BIGINT) AS used, used <= 500 AS placed FROM c""")
 def prefix_fit(spark: SparkSession, sf: str) -> DataFrame:

@@ -102,3 +102,32 @@ def test_a_packet_of_all_parts(spark):
     assert private == {"7": True}
     later = recall.retrieve(asked, corpus, recall.Memory(history=history), budget=400).collect()
     assert ("excerpt", "c:2") not in {(r.kind, r.ref) for r in later} and {r.kind for r in later} <= {"excerpt", "quote"}
+
+
+def test_standing_parts_of_a_packet(spark):
+    from sagaledger.operators import recall
+
+    corpus = spark.createDataFrame([("c", f"c:{i}", i, f"line {i} of talk") for i in range(4)] + [("d", "d:0", 0, "elsewhere")], CORPUS)
+    asked = spark.createDataFrame([(1, "c", "how much gold has Hana", "Bo left."), (2, "d", "hello", None)], "request_id int, conv_id string, query string, reply string")
+    memory = recall.Memory(
+        story=spark.createDataFrame([("c", "once upon a time")], "conv_id string, text string"),
+        scenes=spark.createDataFrame([("c", w, f"scene {w}") for w in range(4)], "conv_id string, window int, text string"),
+        state=spark.createDataFrame([("c", "hp", "9", 3), ("c", "gold", "12", 1), ("d", "gold", "1", 0)], "conv_id string, key string, value string, position int"),
+        cast=spark.createDataFrame([("c", 1, ["hana"], "Hana, a smith"), ("c", 2, ["Bo", "Bob"], "Bo, a guard"), ("c", 3, ["Cy"], "Cy, a bard"), ("d", 4, ["hana"], "another Hana")], "conv_id string, id bigint, names array<string>, text string"))
+    got = recall.gather(asked, corpus, memory).orderBy("request_id", "n").collect()
+    lines = [(r.kind, r.ref, r.text) for r in got if r.request_id == 1]
+    assert lines[:2] == [("state", "gold", "gold: 12"), ("state", "hp", "hp: 9")]
+    assert [x for x in lines if x[0] == "story"] == [("story", "story", "once upon a time")]
+    assert [x[1] for x in lines if x[0] == "lead"] == ["scene 3", "scene 2"]
+    assert [x[1] for x in lines if x[0] == "cast"] == ["1", "2"]
+    assert [(r.kind, r.ref) for r in got if r.request_id == 2] == [("state", "gold")]
+
+
+def test_hidden_facts_causes_and_first_cues(spark):
+    schema = "conv_id string, id bigint, predicate string, names array<string>, text string, position int, hidden boolean, causes array<bigint>"
+    facts = spark.createDataFrame([("c", 1, "event", ["hana"], "Hana met Bo", 1, False, []), ("c", 2, "event", ["hana"], "Hana met Bo", 5, False, [4]), ("c", 3, "goal", ["bo"], "Bo hides gold", 3, True, []), ("c", 4, "event", ["nobody"], "a storm", 0, False, []), ("c", 5, "goal", ["far away"], "x", 9, False, [])], schema)
+    ask = lambda q, r, first: spark.createDataFrame([(1, "c", q, r, first)], "request_id int, conv_id string, query string, reply string, first boolean")
+    ids = lambda q, r=None, first=False: [x.id for x in retrieval.relevant_facts(ask(q, r, first), facts).orderBy("rank").collect()]
+    assert ids("where did Hana go") == [2, 1, 4], "a cause stands below what it caused"
+    assert ids("how did Hana come", first=True) == [1, 2, 4], "the earliest of equals first"
+    assert ids("nothing", "Bo was here") == [] and ids("what does Bo want") == [3], "what is hidden needs the message itself"
