@@ -41,7 +41,7 @@ def _merged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     kinds = F.element_at(F.create_map(*[x for k, v in {1: "fact_retract", 2: "fact_correct", 3: "fact_correct", 4: "fact_restore", 5: "fact_restore"}.items() for x in (F.lit(k), F.lit(v))]), F.col("turn") % 11)
     m = F.col("turn") % 11
     owner = said.filter(m.between(1, 5)).withColumns({
-        "repair_id": F.col("id"), "seq": F.col("id"), "kind": kinds, "value": F.when(m == 4, "R").otherwise(F.col("value")),
+        "repair_id": F.col("id") + 1, "seq": F.col("id"), "kind": kinds, "value": F.when(m == 4, "R").otherwise(F.col("value")),
         "new_value": F.when(m == 2, "X").when(m == 3, "Y"), "from_turn": F.when(m == 3, F.col("turn") + 2), "turn_hash": F.lit("h")})
     turns = said.select("conv_id", "turn", "position", F.lit("h").alias("turn_hash"))
     rows, _ = repairs.repaired(said, owner, turns)
@@ -51,8 +51,8 @@ def _merged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 MERGED = """WITH s AS (SELECT o_custkey AS c, o_orderkey AS id, o_orderstatus AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS t, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
 e AS (SELECT c, id, t, t AS p, 0 AS owner, 0 AS seq, v, false AS locked FROM s WHERE t % 11 NOT IN (1, 2)
-    UNION ALL SELECT c, -id, t, t, 1, id, 'X', false FROM s WHERE t % 11 = 2 UNION ALL SELECT c, -id, t + 2, least(t + 2, n), 1, id, 'Y', t % 2 = 1 FROM s WHERE t % 11 = 3
-    UNION ALL SELECT c, -id, t, t, 1, id, 'R', false FROM s WHERE t % 11 = 4),
+    UNION ALL SELECT c, -id - 1, t, t, 1, id, 'X', false FROM s WHERE t % 11 = 2 UNION ALL SELECT c, -id - 1, t + 2, least(t + 2, n), 1, id, 'Y', t % 2 = 1 FROM s WHERE t % 11 = 3
+    UNION ALL SELECT c, -id - 1, t, t, 1, id, 'R', false FROM s WHERE t % 11 = 4),
 l AS (SELECT *, last_value(CASE WHEN locked THEN {'id': -id, 'v': v} END IGNORE NULLS) OVER (PARTITION BY c ORDER BY p, owner, seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lock FROM e)
 """
 
