@@ -39,7 +39,7 @@ from ._frames import in_batches, stored
 from ._text import ranges, release, steps
 
 #: Bytes of a part at most; bytes that a window has on either side of a join at first; bytes that two characters take at most.
-LEAF, WINDOW, MARGIN = 8192, 64, 8
+LEAF, WINDOW, MARGIN = 16384, 64, 8
 
 #: Certain places where a scan stops: before white space that follows another character.
 _STOP = re.compile(rb"(?<=[!-~])(?=[ \t\n\v\f\r])")
