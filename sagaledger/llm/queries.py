@@ -70,8 +70,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rules
 
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = rules.quality_rules(docs, rules.train_forest(docs, labels))
+    out = rules.rules_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -5,6 +5,11 @@
 anomaly score: the mean path length over random splits of the rule statistics, as a number from 0 to 1.  The score above
 which a document is dropped is calibrated from labelled rows.
 
+The forest is that of all labelled rows.  Splits are drawn from the box that the rows lie in, and what a node weighs is counted
+over every good row, a few levels of all trees in one pass; a node is split while it holds more than one in TREE_ROWS of them.
+So a tree is what trees of TREE_ROWS rows drawn at random are on average.  The driver holds the trees, whose size TREES and
+TREE_ROWS bound, and never rows.
+
 Defined results: a null text counts as an empty one and has no words, so it fails the base rules; rows that repeat a
 doc_id are judged one by one; a null doc_id stays null; an empty table gives an empty result; columns other than doc_id
 and text are not read.  Without labelled rows there is no forest, and the base rules alone decide.
@@ -19,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._frames import in_batches, labelled_sample
+from ._frames import discard, in_batches, stored
 from ._text import LEADING, NOT_SPACE, Texts, Words, count_in, mix64, release, span_hashes, steps
 
 # What counts as a symbol, and the base rules' limits.
@@ -28,10 +34,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Labelled rows of each class that the forest is fitted on and its threshold calibrated with, at most.
-SAMPLE_PER_CLASS = 1500
-#: Trees, and rows that each tree sees.
-TREES, TREE_ROWS = 100, 128
+#: Trees; a node that holds no more than one in TREE_ROWS of the rows is not split; levels that one pass over the rows adds.
+TREES, TREE_ROWS, LEVELS = 100, 128, 4
 #: Share of the labelled good rows that the threshold may drop at most.
 MAX_GOOD_LOST = 0.0
 
@@ -152,9 +156,8 @@ class Forest:
     rows: int
     threshold: float = 2.0
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """Anomaly score of each row: near 1 for short paths, near 0 for long ones."""
-        total = np.zeros(len(x))
+    def leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree, the leaf that each row comes to."""
         every = np.arange(len(x))
         for root in self.roots:
             node = np.full(len(x), root)
@@ -165,6 +168,12 @@ class Forest:
                 f = f[f >= 0]
                 at = node[live]
                 node[live] = np.where(x[live, f] < self.cut[at], self.left[at], self.right[at])
+            yield node
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Anomaly score of each row: near 1 for short paths, near 0 for long ones."""
+        total = np.zeros(len(x))
+        for node in self.leaves(x):
             total += self.depth[node]
         return 2.0 ** (-(total / max(len(self.roots), 1)) / max(_mean_path(self.rows), 1e-9))
 
@@ -176,84 +185,177 @@ def _mean_path(n: int) -> float:
     return 1.0 if n == 2 else 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def fit_forest(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 11) -> Forest:
-    """Random splits over the rows of x.
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in FEATURES])
+
+
+def leaf_counts(rows: DataFrame, forest: Forest) -> np.ndarray:
+    """How many of the rows (FEATURES) come to each node of the forest as a leaf."""
 
-    A split is drawn from the node's part of the box, which may reach beyond the rows: space in which no row of x lies is
-    then cut off early, so a document in it has a short path even where all rows of x share one value of that statistic.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(forest.feature), dtype=np.int64)
+        for batch in batches:
+            for node in forest.leaves(_matrix(batch)):
+                total += np.bincount(node, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["node", "n"])
+
+    got = rows.select(*FEATURES).mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(forest.feature), dtype=np.int64)
+    out[got["node"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def fit_forest(good: DataFrame, n: int, box: tuple[np.ndarray, np.ndarray], trees: int = TREES, rows: int = TREE_ROWS, seed: int = 11) -> Forest:
+    """Random splits over all n rows of good (FEATURES).
+
+    A split is drawn from the node's part of the box, which may reach beyond the rows: space in which no row lies is then cut
+    off early, so a document in it has a short path even where all rows share one value of that statistic.
     """
     rng = np.random.default_rng(seed)
-    rows = min(rows, len(x))
+    rows = min(rows, n)
     limit = 2 * int(np.ceil(np.log2(max(rows, 2)))) + 2
-    feature: list[int] = []
-    cut: list[float] = []
-    left: list[int] = []
-    right: list[int] = []
-    depth: list[float] = []
-
-    def grow(data: np.ndarray, low: np.ndarray, high: np.ndarray, at: int) -> int:
-        me = len(feature)
-        for column, value in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (depth, at + _mean_path(len(data)))):
-            column.append(value)
+    feature, cut, left, right, level = [-1] * trees, [0.0] * trees, [-1] * trees, [-1] * trees, [0] * trees
+    boxes = [box] * trees
+    mass = np.full(trees, n, dtype=np.int64)
+
+    def split(me: int, levels: int) -> None:
+        low, high = boxes[me]
         wide = np.flatnonzero(high > low)
-        if at < limit and len(wide) and len(data) > 1:
-            f = int(rng.choice(wide))
-            feature[me], cut[me] = f, float(rng.uniform(low[f], high[f]))
-            below = data[:, f] < cut[me]
-            edge = np.arange(len(low)) == f
-            left[me] = grow(data[below], low, np.where(edge, cut[me], high), at + 1)
-            right[me] = grow(data[~below], np.where(edge, cut[me], low), high, at + 1)
-        return me
-
-    roots = [grow(x[rng.choice(len(x), rows, replace=False)], *box, 0) for _ in range(trees)]
-    return Forest(*(np.array(v) for v in (feature, cut, left, right, depth, roots)), rows=rows)
-
-
-def calibrate(scores: np.ndarray, good: np.ndarray, max_good_lost: float = MAX_GOOD_LOST) -> float:
-    """The lowest threshold that drops at most that share of the good rows, with half the gap to the next bad row as margin."""
-    if not good.any():
+        if not levels or level[me] >= limit or not len(wide):
+            return
+        f = int(rng.choice(wide))
+        feature[me], cut[me] = f, float(rng.uniform(low[f], high[f]))
+        edge = np.arange(len(low)) == f
+        for side, part in ((left, (low, np.where(edge, cut[me], high))), (right, (np.where(edge, cut[me], low), high))):
+            side[me] = len(feature)
+            for column, value in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (level, level[me] + 1), (boxes, part)):
+                column.append(value)
+            split(side[me], levels - 1)
+
+    def made(depth: np.ndarray) -> Forest:
+        return Forest(*(np.array(v) for v in (feature, cut, left, right, depth, np.arange(trees))), rows=rows)
+
+    live = list(range(trees)) if n > 1 else []
+    while live:
+        before = len(feature)
+        for me in live:
+            split(me, LEVELS)
+        if len(feature) == before:
+            break
+        mass = leaf_counts(good, made(np.zeros(len(feature))))
+        # Children stand behind their parents, so from the end on every node has what its children hold.
+        for me in range(len(feature) - 1, -1, -1):
+            if feature[me] >= 0:
+                mass[me] = mass[left[me]] + mass[right[me]]
+                if mass[me] * rows <= n:
+                    feature[me] = -1
+        reached, todo = [], list(range(trees))
+        while todo:
+            me = todo.pop()
+            if feature[me] >= 0:
+                todo += (right[me], left[me])
+            elif mass[me] * rows > n:
+                reached.append(me)
+        live = reached
+    return made(np.array([at + _mean_path(int(np.rint(m * rows / n))) for at, m in zip(level, mass.tolist())]))
+
+
+#: Bins of scores that one pass tells apart.
+BINS = 1024
+
+
+def kth_highest(scores: DataFrame, k: int) -> float:
+    """The k-th highest of the scores (score, in 0 to 1), by counts in ever narrower bins."""
+    low, high = 0.0, 1.0
+    while high > low:
+        bin_ = F.least(F.floor((F.col("score") - low) / (high - low) * BINS), F.lit(BINS - 1)).alias("bin")
+        bins = scores.filter(F.col("score").between(low, high)).groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for b in sorted(bins.collect(), key=lambda b: -b["bin"]):
+            if k <= b["n"]:
+                low, high = b["low"], b["high"]
+                break
+            k -= b["n"]
+    return high
+
+
+def calibrate(scored: DataFrame, max_good_lost: float = MAX_GOOD_LOST) -> float:
+    """The lowest threshold that drops at most that share of the good rows, with half the gap to the next bad row as margin.
+    scored has (score, good)."""
+    good = scored.filter("good")
+    n = good.count()
+    if not n:
         return 2.0
-    kept = np.sort(scores[good])
-    at = kept[min(len(kept) - 1, int(np.ceil((1 - max_good_lost) * len(kept))) - 1)]
-    above = scores[~good][scores[~good] > at]
-    return float(at + (above.min() - at) / 2) if len(above) else float(at + 1e-9)
+    at = kth_highest(good, n - min(n, max(1, int(np.ceil((1 - max_good_lost) * n)))) + 1)
+    above = scored.filter(~F.col("good") & (F.col("score") > at)).agg(F.min("score")).first()[0]
+    return float(at + (above - at) / 2) if above is not None else float(at + 1e-9)
 
 
-def train_forest(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Forest | None:
-    """A forest from a bounded sample of labelled rows that pass the base rules; None without any."""
-    got = labelled_sample(docs, labels, "quality", F.lit(True), per_class).toArrow().combine_chunks()
-    if not got.num_rows:
-        return None
-    got = got.take(pa.array(np.lexsort((got["target"].to_numpy(), got["doc_id"].to_numpy()))))
-    column = got["text"].combine_chunks()
-    parts = [rule_statistics(t) for _, _, t in steps(column)]
-    x = np.concatenate([p.features for p in parts])
-    passed = ~np.concatenate([p.base_failed for p in parts])
-    good = got["target"].to_numpy() == 1
-    if not (passed & good).any():
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+TABLE = ", ".join(["doc_id bigint", *(f"{c} bigint" for c in COUNTS), "base_failed boolean", *(f"{c} double" for c in FEATURES)])
+
+
+def statistics_table(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: its rule statistics and FEATURES.  One pass over the texts, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in steps(batch.column("text")):
+                s = rule_statistics(texts)
+                columns = [batch.column("doc_id").slice(a, b - a), *(pa.array(getattr(s, c)) for c in COUNTS), pa.array(s.base_failed), *map(pa.array, s.features.T.copy())]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in TABLE.split(", ")])
+        release()
+
+    return in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TABLE)
+
+
+def _scores(rows: DataFrame, forest: Forest) -> DataFrame:
+    """rows (FEATURES among their columns) with anomaly, their score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest.score(_matrix(batch)))], names=[*batch.schema.names, "anomaly"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("anomaly", T.DoubleType())]))
+
+
+def train_on(statistics: DataFrame, labels: DataFrame) -> Forest | None:
+    """A forest from all labelled rows of a table of statistics that pass the base rules; None without any.  Null ids, null
+    targets and targets other than 0 and 1 are left out; an id with both targets counts as good."""
+    known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["quality"].cast("int").alias("target"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("target").isin(0, 1)).groupBy("doc_id").agg((F.max("target") == 1).alias("good"))
+    rows = stored(statistics.filter(~F.col("base_failed")).select("doc_id", *FEATURES).join(known, "doc_id").drop("doc_id"), "labelled")
+    ends = [of(c).alias(f"{name}_{c}") for name, of in (("low", F.min), ("high", F.max)) for c in FEATURES]
+    seen = rows.agg(F.count_if("good").alias("n"), *ends).first()
+    if not seen["n"]:
         return None
-    forest = fit_forest(x[passed & good], (x[passed].min(0), x[passed].max(0)))
-    forest.threshold = calibrate(forest.score(x[passed]), good[passed])
+    low, high = (np.array([seen[f"{name}_{c}"] for c in FEATURES]) for name in ("low", "high"))
+    forest = fit_forest(rows.filter("good"), seen["n"], (low, high))
+    scored = stored(_scores(rows, forest).select("good", F.col("anomaly").alias("score")), "scored")
+    forest.threshold = calibrate(scored)
+    discard(rows)
+    discard(scored)
     return forest
 
 
-RESULT = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, anomaly double"
+def train_forest(docs: DataFrame, labels: DataFrame) -> Forest | None:
+    """A forest from all labelled rows of docs that pass the base rules; None without any."""
+    return train_on(statistics_table(docs), labels)
+
+
+def judged(statistics: DataFrame, forest: Forest | None) -> DataFrame:
+    """A table of statistics with whether each row is kept, and its anomaly score."""
+    rows = statistics.withColumn("anomaly", F.lit(0.0)) if forest is None else _scores(statistics, forest)
+    kept = ~F.col("base_failed") & (F.lit(True) if forest is None else F.col("anomaly") <= forest.threshold)
+    return rows.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "anomaly")
 
 
 def quality_rules(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """One row for each row of docs: its rule statistics, and whether it is kept.  One pass over the texts, no shuffle."""
+    return judged(statistics_table(docs), forest)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in steps(batch.column("text")):
-                s = rule_statistics(texts)
-                failed = s.base_failed
-                score = forest.score(s.features) if forest is not None else np.zeros(len(texts))
-                kept = ~failed & ~(score > forest.threshold if forest is not None else failed)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), *map(pa.array, (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words, failed, kept, score))],
-                    names=[c.split()[0] for c in RESULT.split(", ")],
-                )
-        release()
 
-    return in_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judge, RESULT)
+def rules_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality_rules with the forest of docs' own labelled rows.  The texts are read once; their statistics are stored."""
+    statistics = stored(statistics_table(docs), "statistics")
+    return judged(statistics, train_on(statistics, labels))
