@@ -1,11 +1,12 @@
 """Cross-tokenizer alignment of a byte-level vocabulary (A) with a piece vocabulary (B) on the same bytes.
 
 Python turns a text into token ids and the byte offsets where tokens end, and nothing else.  From there on everything is
-array functions of Spark: the ends that both sides share, by ``array_intersect``, cut the tokens into groups; a link is one
-stretch between two neighbouring ends of either side, and so belongs to one token of each.  Both sides' ends are merged by one
-sort of 64-bit keys (end, side, index).  At place m of the merged array an end of token i of A has m - i ends of B before it, so
-the link that stops there joins token i with token m - i of B; an end of token j of B that A does not share joins j with token
-m - j of A.  No array is searched and none is grown step by step, so the work on a text is that of a sort.
+array functions of Spark.  The ends that both sides share, by ``array_intersect``, cut the tokens into groups, most of which have
+one token of either side.  Only the ends that one side alone has, by ``array_except``, are looked at one by one: one sort among
+all ends tells how many ends of either side stand before each.  Those without a shared end between them are one group of more
+than two tokens; what lies between two such groups is a run of groups of one token of either side, taken by slices.  A link is
+one stretch between two neighbouring ends of either side, and so belongs to one token of each.  No array is searched and none
+is grown step by step, so the work on a text is that of a sort.
 
 How many documents hold an id pair linked is a count over the whole corpus.  The distinct pairs of each document are stored
 once; the counts come from one aggregation, and go back to the documents by a join in which the pairs that are in a great
@@ -18,7 +19,7 @@ doc_id stays null; an empty table gives an empty result; columns other than doc_
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import bound
 from ._bpe import plain_encoder
 from ._frames import in_batches, joined_by_group, stored
 from ._text import buffers, release, steps
@@ -38,7 +40,8 @@ from .pieces import BYTE, MARK, NORMAL, USER, read_model
 STEP_BYTES = 1 << 20
 
 _INTS = T.ArrayType(T.IntegerType(), False)
-TOKENS = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), *(T.StructField(c, _INTS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))])
+_LONGS = T.ArrayType(T.LongType(), False)
+TOKENS = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), *(T.StructField(c, kind, False) for c, kind in (("a_ids", _INTS), ("a_ends", _LONGS), ("b_ids", _INTS), ("b_ends", _LONGS)))])
 
 
 class PieceTokens:
@@ -66,14 +69,15 @@ def _piece_tokens(path: str) -> PieceTokens:
 
 
 def _ends(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Running byte ends of the tokens of each text; at is where each text's tokens begin."""
+    """Running byte ends of the tokens of each text, times four, which leaves bits for marks; at is where each text's tokens
+    begin."""
     total = np.cumsum(sizes, dtype=np.int64)
     before = np.concatenate([[0], total])[at[:-1]]
-    return (total - np.repeat(before, np.diff(at))).astype(np.int32)
+    return (total - np.repeat(before, np.diff(at))) * 4
 
 
-def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
+def _lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values, kind), type=pa.list_(pa.field("element", kind, nullable=False)))
 
 
 def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -95,7 +99,7 @@ def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                 b_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, n))])
                 b_ids = np.fromiter(chain.from_iterable(found), np.int32, int(b_at[-1]))
                 a_ids, a_at = a.encode(pc.if_else(pa.array(same), spaced, pa.scalar("", pa.large_string())))
-                columns = [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(low, n), _lists(a_ids, a_at), _lists(_ends(a.sizes[a_ids], a_at), a_at), _lists(b_ids, b_at), _lists(_ends(b.sizes[b_ids], b_at), b_at)]
+                columns = [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(low, n), _lists(a_ids.astype(np.int32), a_at, pa.int32()), _lists(_ends(a.sizes[a_ids], a_at), a_at, pa.int64()), _lists(b_ids, b_at, pa.int32()), _lists(_ends(b.sizes[b_ids], b_at), b_at, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=TOKENS.names)
                 row += n
         release()
@@ -104,63 +108,120 @@ def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     return rows.mapInArrow(run, TOKENS)
 
 
-#: Bits of an index in a merged key, the bit of B's side above them, and bits of an id of B in a pair.
-_INDEX, _SIDE, _ID = 31, 1 << 31, 20
+#: Bits of an id of B in a pair; the bit of B's side in a key of an end that one side alone has, above the index.
+_ID, _SIDE = 20, 1 << 30
 
 
-def _keys(ends: Column, side: int) -> Column:
-    return F.transform(ends, lambda e, i: F.shiftleft(e.cast("bigint"), _INDEX + 1) + (i + F.lit(side)))
+def _with(names: tuple[str, ...], then: Callable[..., Column], *have: Column) -> Column:
+    """then of these columns, each bound once for a row."""
+    return bound(F.col(names[0]), lambda v: _with(names[1:], then, *have, v)) if names else then(*have)
 
 
-def with_links(found: DataFrame) -> DataFrame:
-    """Token rows with links (pairs of ids, one for each overlap of a token of A with one of B) and borders (for each group
-    the last token of A and of B in it)."""
-    rows = found.withColumn("merged", F.sort_array(F.concat(_keys(F.col("a_ends"), 0), _keys(F.col("b_ends"), _SIDE))))
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    def event(x: Column, m: Column) -> Column:
-        """A link as a number of at least 0; a shared end, at its B side, as -1 - (index in A, index in B).  The coalesce has no
-        null to replace; it tells Spark so, and arrays without nulls are sorted as plain numbers."""
-        j = x.bitwiseAND(F.lit(_SIDE - 1)).cast("int")
-        of_b = x.bitwiseAND(F.lit(_SIDE)) != 0
-        shared = F.shiftright(F.get("merged", m - 1), _INDEX + 1) == F.shiftright(x, _INDEX + 1)
-        pair = lambda i, k: F.shiftleft(F.get("a_ids", i).cast("bigint"), _ID) + F.get("b_ids", k)
-        border = F.lit(-1).cast("bigint") - F.shiftleft((m - 1 - j).cast("bigint"), _INDEX) - j
-        return F.coalesce(F.when(of_b, F.when(shared, border).otherwise(pair(m - j, j))).otherwise(pair(j, m - j)), F.lit(0).cast("bigint"))
 
-    rows = rows.withColumn("events", F.transform("merged", event)).drop("merged")
-    return rows.select("*", F.filter("events", lambda x: x >= 0).alias("links"), F.filter("events", lambda x: x < 0).alias("borders")).drop("events")
+def with_odd(found: DataFrame) -> DataFrame:
+    """Token rows with n_shared (how many ends both sides have) and, for each end that one side alone has, odd (its place among
+    all ends), keys (end, side, index among those of its side), a_at and b_at (how many ends of either side stand before it)."""
+    shared = F.array_intersect("a_ends", "b_ends")
+    rows = found.select("*", shared.alias("shared"), F.array_except("a_ends", "b_ends").alias("a_only"), F.array_except("b_ends", "a_ends").alias("b_only"))
+    marked = lambda side: F.transform(side, lambda e: e + 1)
+    key = lambda side, bit: F.transform(side, lambda e, w: F.shiftleft(e, 30) + (w + F.lit(bit)))
+    rows = rows.select("*", F.sort_array(F.concat("shared", marked("a_only"), marked("b_only"))).alias("all"), F.sort_array(F.concat(key("a_only", 0), key("b_only", _SIDE))).alias("keys"))
+    one = F.lit(1).cast("bigint")
+    odd = _with(("all",), lambda all_: F.filter(_upto(F.size("all")), lambda k: F.get(all_, k).bitwiseAND(one) == one))
+    rows = rows.select("*", odd.alias("odd"), F.size("shared").alias("n_shared")).drop("shared", "a_only", "b_only", "all")
+    a_at = _with(("keys", "odd"), lambda keys, odd: F.transform(odd, lambda k, u: k - u + _a_before(keys, u)))
+    b_at = _with(("keys", "odd"), lambda keys, odd: F.transform(odd, lambda k, u: k - _a_before(keys, u)))
+    return rows.select("*", a_at.alias("a_at"), b_at.alias("b_at"))
+
+
+def _a_before(keys: Column, u: Column) -> Column:
+    """How many ends of A alone stand before place u of keys: its index if A has that end, else u without B's index."""
+    x = F.get(keys, u).bitwiseAND(F.lit(2 * _SIDE - 1)).cast("int")
+    return F.when(x < _SIDE, x).otherwise(u + _SIDE - x)
+
+
+def with_runs(rows: DataFrame) -> DataFrame:
+    """Rows of with_odd with groups (of more than two tokens: their first and last token on either side) and runs (where the
+    groups of one token of either side between them begin, and how many they are)."""
+    next_to = lambda k: _with(("odd",), lambda odd: F.filter(_upto(F.size("odd")), lambda u: ~F.get(odd, u + k).eqNullSafe(F.get(odd, u) + k)))
+    rows = rows.select("*", next_to(-1).alias("first"), next_to(1).alias("last"))
+
+    def groups(keys: Column, a_at: Column, b_at: Column, first: Column, last: Column) -> Column:
+        def group(u: Column, g: Column) -> Column:
+            v = F.get(last, g)
+            of_b = F.when(F.get(keys, v).bitwiseAND(F.lit(_SIDE)) != 0, 1).otherwise(0)
+            return F.struct(F.get(a_at, u).alias("a"), F.get(b_at, u).alias("b"), (F.get(a_at, v) + 1 - of_b).alias("a_last"), (F.get(b_at, v) + of_b).alias("b_last"))
+
+        return F.transform(first, group)
+
+    rows = rows.withColumn("groups", _with(("keys", "a_at", "b_at", "first", "last"), groups))
+
+    def runs(groups: Column) -> Column:
+        def run(g: Column) -> Column:
+            a, b = (F.coalesce(F.get(groups, g - 1)[c] + 1, F.lit(0)) for c in ("a_last", "b_last"))
+            return F.struct(a.alias("a"), b.alias("b"), (F.coalesce(F.get(groups, g)["a"], F.size("a_ids")) - a).alias("n"))
+
+        return F.transform(F.sequence(F.lit(0), F.size(groups)), run)
+
+    return rows.withColumn("runs", _with(("groups",), runs))
+
+
+def _pair(x: Column, y: Column) -> Column:
+    """Two ids as one number.  The coalesce has no null to replace; it tells Spark so, and arrays without nulls are sorted as
+    plain numbers."""
+    return F.coalesce(F.shiftleft(x.cast("bigint"), _ID) + y, F.lit(0).cast("bigint"))
+
+
+def links() -> Column:
+    """Pairs of ids, one for each overlap of a token of A with one of B: of groups of two tokens, and in the others at every end
+    that one side alone has and at the shared end."""
+
+    def plain(runs: Column, a: Column, b: Column) -> Column:
+        return F.flatten(F.transform(runs, lambda r: F.zip_with(F.slice(a, r["a"] + 1, r["n"]), F.slice(b, r["b"] + 1, r["n"]), _pair)))
+
+    def rest(a_at: Column, b_at: Column, a: Column, b: Column) -> Column:
+        return F.transform(a_at, lambda i, u: _pair(F.get(a, i), F.get(b, F.get(b_at, u))))
+
+    def closing(groups: Column, a: Column, b: Column) -> Column:
+        return F.transform(groups, lambda g: _pair(F.get(a, g["a_last"]), F.get(b, g["b_last"])))
+
+    return F.concat(_with(("runs", "a_ids", "b_ids"), plain), _with(("a_at", "b_at", "a_ids", "b_ids"), rest), _with(("groups", "a_ids", "b_ids"), closing))
 
 
 def groups_text() -> Column:
-    """The groups as text: ids of A, a bar, ids of B; groups one after another.  Most have one token of either side, which need
-    no slices."""
-    a = lambda c: F.shiftright(-1 - c, _INDEX).cast("int")
-    b = lambda c: (-1 - c).bitwiseAND(F.lit((1 << _INDEX) - 1)).cast("int")
-    # what stands before the first group: index -1 on either side
-    before = lambda k: F.coalesce(F.get("borders", k - 1), F.lit(1 << _INDEX).cast("bigint"))
-    at = lambda side, i: F.get(side, i).cast("string")
+    """The groups as text: ids of A, a bar, ids of B; groups one after another.  A run is written by the cast of its zipped ids,
+    whose marks are replaced: [{1, 2}, {3, 4}] becomes 1|2;3|4."""
 
-    def group(c: Column, k: Column) -> Column:
-        one = F.concat(at("a_ids", a(c)), F.lit("|"), at("b_ids", b(c)))
-        ids = lambda side, low, high: F.array_join(F.slice(side, low + 2, high - low).cast("array<string>"), ",")
-        i, j = (F.when(k == 0, -1).otherwise(of(F.get("borders", k - 1))) for of in (a, b))
-        many = F.concat(ids("a_ids", i, a(c)), F.lit("|"), ids("b_ids", j, b(c)))
-        return F.when(before(k) - c == (1 << _INDEX) + 1, one).otherwise(many)
+    def pieces(runs: Column, groups: Column, a: Column, b: Column) -> Column:
+        def piece(r: Column, k: Column) -> Column:
+            zipped = F.arrays_zip(F.slice(a, r["a"] + 1, r["n"]), F.slice(b, r["b"] + 1, r["n"])).cast("string")
+            g = F.get(groups, k)
+            ids = lambda side, c: F.array_join(F.slice(side, g[c] + 1, g[f"{c}_last"] - g[c] + 1).cast("array<string>"), ",")
+            return F.array(F.when(r["n"] > 0, zipped), F.when(g.isNotNull(), F.concat(ids(a, "a"), F.lit("|"), ids(b, "b"))))
 
-    return F.array_join(F.transform("borders", group), ";")
+        return F.flatten(F.transform(runs, piece))
+
+    # array_join leaves out nulls: empty runs, and the group that does not follow the last run
+    text = F.array_join(_with(("runs", "groups", "a_ids", "b_ids"), pieces), ";")
+    for mark, put in (("}, {", ";"), (", ", "|"), ("[{", ""), ("}]", "")):
+        text = F.replace(text, F.lit(mark), F.lit(put))
+    return text
 
 
 def linked(found: DataFrame) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): pairs are the distinct id pairs of a row, and
     times how often each is linked there."""
-    rows = with_links(found)
-    shared = F.array_intersect("a_ends", "b_ends")
-    rows = rows.select("row", "doc_id", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), F.size(shared).cast("bigint").alias("n_groups"), F.size("links").cast("bigint").alias("n_links"),
-        F.when(F.size("borders") > 0, F.sha2(groups_text(), 256)).otherwise("").alias("groups_sha256"), F.sort_array("links").alias("links"))
+    rows = with_runs(with_odd(found))
+    rows = rows.select("row", "doc_id", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), F.col("n_shared").cast("bigint").alias("n_groups"),
+        F.when(F.size("a_ids") > 0, F.sha2(groups_text(), 256)).otherwise("").alias("groups_sha256"), F.sort_array(links()).alias("links"))
     places = F.when(F.size("links") > 0, F.sequence(F.lit(0), F.size("links") - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("firsts", F.filter(places, lambda k: ~F.get("links", k).eqNullSafe(F.get("links", k - 1))))
-    times = F.transform("firsts", lambda k, r: F.coalesce(F.get("firsts", r + 1), F.size("links")) - k)
-    return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.transform("firsts", lambda k: F.get("links", k)).alias("pairs"), times.alias("times"))
+    rows = rows.withColumn("firsts", _with(("links",), lambda links: F.filter(places, lambda k: ~F.get(links, k).eqNullSafe(F.get(links, k - 1)))))
+    times = _with(("firsts",), lambda firsts: F.transform(firsts, lambda k, r: F.coalesce(F.get(firsts, r + 1), F.size("links")) - k))
+    pairs = _with(("links",), lambda links: F.transform("firsts", lambda k: F.get(links, k)))
+    return rows.select("row", "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("bigint").alias("n_links"), "groups_sha256", pairs.alias("pairs"), times.alias("times"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

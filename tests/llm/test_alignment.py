@@ -79,3 +79,15 @@ def test_one_side_is_empty_or_long(spark):
     long = table(spark, n=3).limit(0).unionByName(spark.createDataFrame([(1, "abc " * 30000, *[None] * 10)], SCHEMA))
     (r,) = alignment.align(long, A, B).collect()
     assert r.n_links == r.n_a + r.n_b - r.n_groups
+
+
+def test_only_ends_of_one_side_are_looked_at_one_by_one(spark):
+    """What lambdas walk are the ends that one side alone has; groups of one token of either side are taken by runs."""
+    texts = ["the and of to in", "naïve café 日本 the of", "", None, "xyzzy", "the of xyzzyqq and in"]
+    found = alignment.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), A, B)
+    got = {r.doc_id: r for r in alignment.with_runs(alignment.with_odd(found)).collect()}
+    for i, t in enumerate(tokenised(texts)):
+        r, ends = got[i], [set() if t is None else {sum(map(len, side[:k + 1])) for k in range(len(side))} for side in (t or [()] * 4)[1::2]]
+        assert r.n_shared == len(ends[0] & ends[1]) and len(r.odd) == len(ends[0] ^ ends[1])
+        assert sum(x.n for x in r.runs) + len(r.groups) == r.n_shared
+    assert got[0].odd == [] and got[5].odd != []
