@@ -37,6 +37,7 @@ class UnitEncoder:
     """Encodes columns by units.  Subclasses say where a text is cut, and what a unit's and a whole text's ids are."""
 
     dtype: np.dtype
+    cache_bytes: int | None = None  # CACHE_BYTES if none
 
     def odd(self, texts: Texts) -> np.ndarray:
         """For each text, whether it must be encoded whole."""
@@ -107,7 +108,7 @@ class UnitEncoder:
             slots = known[units.indices.to_numpy()]
             del units
         cost = sum(map(len, new)) + _UNIT_COST * len(new)
-        if self.cost + cost <= CACHE_BYTES:
+        if self.cost + cost <= (self.cache_bytes or CACHE_BYTES):
             self.cost += cost
             mark, new = (self.used, self.filled), []
         count, begin = self.count[slots], self.begin[slots]
@@ -161,6 +162,23 @@ _OF_BYTE = np.array([_ascii_class(b) for b in range(0x80)] + [LETTER if 0xC4 <=
 _OF_SECOND = np.array([[_latin_class((lead << 6 | b & 0x3F) & 0xFF) for b in range(0x100)] for lead in (2, 3)], dtype=np.uint8)
 
 
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The class of every byte's character."""
+    kind = _OF_BYTE[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        first, second = data[lead], data[lead + 1]
+        latin = first < 0xC4
+        kind[lead[latin]] = _OF_SECOND[first[latin] - 0xC2, second[latin]]
+        two = lead[first < 0xC9]
+        kind[two + 1] = kind[two]
+        three = lead[first >= 0xE0]
+        if len(three):
+            point = data[three].astype(np.int64) << 16 | data[three + 1].astype(np.int64) << 8 | data[three + 2]
+            kind[three[np.isin(point, _FAR_SPACES)]] = TEXT
+    return kind
+
+
 class Encoder(UnitEncoder):
     """A byte-level BPE of the tokenizers library with its usual pattern of cuts."""
 
@@ -204,25 +222,9 @@ class Encoder(UnitEncoder):
             self.marked |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
         return super().prepared(column)
 
-    def _kinds(self, data: np.ndarray) -> np.ndarray:
-        """The class of every byte's character."""
-        kind = _OF_BYTE[data]
-        lead = np.flatnonzero(data >= 0xC2)
-        if len(lead):
-            first, second = data[lead], data[lead + 1]
-            latin = first < 0xC4
-            kind[lead[latin]] = _OF_SECOND[first[latin] - 0xC2, second[latin]]
-            two = lead[first < 0xC9]
-            kind[two + 1] = kind[two]
-            three = lead[first >= 0xE0]
-            if len(three):
-                point = data[three].astype(np.int64) << 16 | data[three + 1].astype(np.int64) << 8 | data[three + 2]
-                kind[three[np.isin(point, _FAR_SPACES)]] = TEXT
-        return kind
-
     def odd(self, texts: Texts) -> np.ndarray:
         out = self.marked
-        rare = np.flatnonzero(self._kinds(texts.data) == TEXT)
+        rare = np.flatnonzero(kinds(texts.data) == TEXT)
         out[np.searchsorted(texts.offsets, rare, side="right") - 1] = True
         return out
 
@@ -230,7 +232,7 @@ class Encoder(UnitEncoder):
         data, offsets = texts.data, texts.offsets
         if not len(data):
             return np.zeros(0, np.int64)
-        kind = self._kinds(data)
+        kind = kinds(data)
         white = (kind == SPACE) | (kind == WHITE)
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
         ends = offsets[1:][offsets[:-1] < offsets[1:]] - 1

@@ -1,10 +1,11 @@
 """Cross-tokenizer alignment of a byte-level vocabulary (A) with a piece vocabulary (B) on the same bytes.
 
-Python turns a text into token ids and the byte offsets where tokens end, and nothing else.  From there on everything is
+Python turns a text into token ids and the byte offsets where tokens end, and nothing else; texts are cut into units there, and
+equal units share one call of the libraries.  From there on everything is
 array functions of Spark.  The ends that both sides share, by ``array_intersect``, cut the tokens into groups, most of which have
 one token of either side.  Only the ends that one side alone has, by ``array_except``, are looked at one by one: one sort among
 all ends tells how many ends of either side stand before each.  Those without a shared end between them are one group of more
-than two tokens; what lies between two such groups is a run of groups of one token of either side, taken by slices.  A link is
+than two tokens; what lies between two such groups is a run of groups of one token of either side, taken by their places.  A link is
 one stretch between two neighbouring ends of either side, and so belongs to one token of each.  No array is searched and none
 is grown step by step, so the work on a text is that of a sort.
 
@@ -20,7 +21,6 @@ doc_id stays null; an empty table gives an empty result; columns other than doc_
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import bound
-from ._bpe import plain_encoder
+from ._bpe import SPACE, WHITE, UnitEncoder, kinds, plain_encoder
+from ._bpe import TEXT as RARE
 from ._frames import in_batches, joined_by_group, stored
-from ._text import buffers, release, steps
-from .pieces import BYTE, MARK, NORMAL, USER, read_model
+from ._text import Texts, release, steps
+from .pieces import BYTE, MARK, NORMAL, USER, Normaliser, read_model
 
 #: Bytes of text that are tokenised at a time.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 2 << 20
 
 _INTS = T.ArrayType(T.IntegerType(), False)
 _LONGS = T.ArrayType(T.LongType(), False)
@@ -45,7 +46,7 @@ TOKENS = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id
 
 
 class PieceTokens:
-    """The sentencepiece library's ids, and the bytes of every id."""
+    """The sentencepiece library, the bytes of every id, and whether texts may be cut."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -54,18 +55,80 @@ class PieceTokens:
         spec = read_model(path)
         self.names = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"" for p, _, kind in spec.pieces]
         self.sizes = np.array([len(n) for n in self.names], np.int32)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
-
-
-_pieces: dict[str, PieceTokens] = {}
-
-
-def _piece_tokens(path: str) -> PieceTokens:
-    if path not in _pieces:
-        _pieces[path] = PieceTokens(path)
-    return _pieces[path]
+        self.cuts = Normaliser(spec).plain and not any("\n" in p or MARK in p.lstrip(MARK) for p, _, kind in spec.pieces if kind != BYTE)
+
+    def encode(self, units: list[bytes]) -> list[list[int]]:
+        """Ids of units, each with a space in front, which the library writes itself, or a line end, before which that space is one
+        too many; none where their bytes are not those of the unit."""
+        found = self.library.encode([u.decode().removeprefix(" ") for u in units], num_threads=1)
+        found = [i if u[:1] == b" " else i[1:] for u, i in zip(units, found)]
+        return [i if b"".join(map(self.names.__getitem__, i)) == u else [] for u, i in zip(units, found)]
+
+
+class BothTokens(UnitEncoder):
+    """Ids of A and B of texts with a space before each; those of A are raised by _A, so that one row of ids holds both.
+
+    A text is cut before a space or a line end that stands alone between other characters.  The pattern of A ends a token on
+    either side of these, whatever stands further.  Where the model of B rewrites nothing but spaces, and has no piece in which a
+    space or a line end follows another character, no merge of B reaches over such a place either; so the ids of a text are
+    those of its units, and equal units share one call of the libraries.  Texts with white space of a rare kind, and all texts
+    of other vocabularies, are encoded whole.
+    """
+
+    dtype = np.dtype("<i4")
+    cache_bytes = 64 << 20
+
+    def __init__(self, byte_path: str, piece_path: str):
+        self.a, self.b = plain_encoder(byte_path), PieceTokens(piece_path)
+        self.cuts = self.b.cuts and not self.a.added
+        self._clear()
+
+    def odd(self, texts: Texts) -> np.ndarray:
+        out = np.full(len(texts), not self.cuts)
+        if self.cuts:
+            out[np.searchsorted(texts.offsets, np.flatnonzero(kinds(texts.data) == RARE), side="right") - 1] = True
+        return out
+
+    def cut(self, texts: Texts) -> np.ndarray:
+        data, offsets = texts.data, texts.offsets
+        if not len(data):
+            return np.zeros(0, np.int64)
+        kind = kinds(data)
+        dark = (kind != SPACE) & (kind != WHITE)
+        begin = np.zeros(len(data), dtype=bool)
+        begin[1:-1] = ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) & dark[:-2] & dark[2:]
+        full = offsets[:-1] < offsets[1:]
+        begin[offsets[1:][full] - 1] = False
+        begin[offsets[:-1][full]] = True
+        return np.flatnonzero(begin)
+
+    def units(self, raw: list[bytes]) -> list[list[int]]:
+        ids, at = self.a.encode(pa.array(raw, pa.large_binary()).cast(pa.large_string()))
+        ids, at = (ids.astype(np.int32) + _A).tolist(), at.tolist()
+        return [b + ids[s:e] for b, s, e in zip(self.b.encode(raw), at, at[1:])]
+
+    def whole(self, text: str) -> list[int]:
+        return self.units([text.encode()])[0] if text else []
+
+    def both(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts in a row, offsets of each text's) of A and of B.  A text has none where B's bytes are not its own:
+        no unit has more bytes by B than of its own, and one with other bytes has none."""
+        ids, at = self.encode(column)
+        of_a = ids >= _A
+        size = np.concatenate([[0], np.cumsum(self.b.sizes[np.where(of_a, 0, ids)] * ~of_a, dtype=np.int64)])[at]
+        same = np.repeat(np.diff(size) == pc.binary_length(column).to_numpy(zero_copy_only=False), np.diff(at))
+        return [(ids[own] - base, np.concatenate([[0], np.cumsum(own)])[at]) for own, base in ((of_a & same, _A), (~of_a & same, 0))]
+
+
+#: What raises ids of A above those of B.
+_A = np.int32(1 << 24)
+_both: dict[tuple[str, str], BothTokens] = {}
+
+
+def _both_tokens(byte_path: str, piece_path: str) -> BothTokens:
+    if (byte_path, piece_path) not in _both:
+        _both[byte_path, piece_path] = BothTokens(byte_path, piece_path)
+    return _both[byte_path, piece_path]
 
 
 def _ends(sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -84,22 +147,17 @@ def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """(row, doc_id, a_ids, a_ends, b_ids, b_ends) of every row of docs; row numbers the rows, whatever their ids are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = plain_encoder(byte_path), _piece_tokens(piece_path)
+        made = _both_tokens(byte_path, piece_path)
         row = TaskContext.get().partitionId() << 40
+        large = pa.large_string()
+        none = pa.scalar("", large)
         for batch in batches:
             for low, high, _ in steps(batch.column("text"), STEP_BYTES):
                 n = high - low
-                texts = [t or "" for t in batch.column("text").slice(low, n).to_pylist()]
-                spaced = pa.array([" " + t for t in texts], pa.large_string())
-                found = b.encode(texts)
-                data, offsets = buffers(spaced)
-                raw = memoryview(np.ascontiguousarray(data))
-                same = [bool(t) and b"".join(map(b.names.__getitem__, ids)) == raw[s:e] for t, ids, s, e in zip(texts, found, offsets.tolist(), offsets[1:].tolist())]
-                found = [ids if s else [] for ids, s in zip(found, same)]
-                b_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, n))])
-                b_ids = np.fromiter(chain.from_iterable(found), np.int32, int(b_at[-1]))
-                a_ids, a_at = a.encode(pc.if_else(pa.array(same), spaced, pa.scalar("", pa.large_string())))
-                columns = [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(low, n), _lists(a_ids.astype(np.int32), a_at, pa.int32()), _lists(_ends(a.sizes[a_ids], a_at), a_at, pa.int64()), _lists(b_ids, b_at, pa.int32()), _lists(_ends(b.sizes[b_ids], b_at), b_at, pa.int64())]
+                texts = pc.fill_null(batch.column("text").slice(low, n).cast(large), "")
+                spaced = pc.if_else(pc.equal(texts, none), none, pc.binary_join_element_wise(pa.scalar(" ", large), texts, none))
+                (a_ids, a_at), (b_ids, b_at) = made.both(spaced)
+                columns = [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(low, n), _lists(a_ids, a_at, pa.int32()), _lists(_ends(made.a.sizes[a_ids], a_at), a_at, pa.int64()), _lists(b_ids, b_at, pa.int32()), _lists(_ends(made.b.sizes[b_ids], b_at), b_at, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=TOKENS.names)
                 row += n
         release()
@@ -132,15 +190,12 @@ def with_odd(found: DataFrame) -> DataFrame:
     one = F.lit(1).cast("bigint")
     odd = _with(("all",), lambda all_: F.filter(_upto(F.size("all")), lambda k: F.get(all_, k).bitwiseAND(one) == one))
     rows = rows.select("*", odd.alias("odd"), F.size("shared").alias("n_shared")).drop("shared", "a_only", "b_only", "all")
-    a_at = _with(("keys", "odd"), lambda keys, odd: F.transform(odd, lambda k, u: k - u + _a_before(keys, u)))
-    b_at = _with(("keys", "odd"), lambda keys, odd: F.transform(odd, lambda k, u: k - _a_before(keys, u)))
-    return rows.select("*", a_at.alias("a_at"), b_at.alias("b_at"))
-
-
-def _a_before(keys: Column, u: Column) -> Column:
-    """How many ends of A alone stand before place u of keys: its index if A has that end, else u without B's index."""
-    x = F.get(keys, u).bitwiseAND(F.lit(2 * _SIDE - 1)).cast("int")
-    return F.when(x < _SIDE, x).otherwise(u + _SIDE - x)
+    # how many ends of A alone stand before place u of keys: its index if A has that end, else u without B's index
+    index = lambda x: x.bitwiseAND(F.lit(2 * _SIDE - 1)).cast("int")
+    rows = rows.withColumn("before", F.transform(F.transform("keys", index), lambda x, u: F.when(x < _SIDE, x).otherwise(u + _SIDE - x)))
+    a_at = _with(("before",), lambda before: F.transform("odd", lambda k, u: k - u + F.get(before, u)))
+    b_at = F.zip_with("odd", "before", lambda k, n: k - n)
+    return rows.select("*", a_at.alias("a_at"), b_at.alias("b_at")).drop("before")
 
 
 def with_runs(rows: DataFrame) -> DataFrame:
@@ -175,12 +230,18 @@ def _pair(x: Column, y: Column) -> Column:
     return F.coalesce(F.shiftleft(x.cast("bigint"), _ID) + y, F.lit(0).cast("bigint"))
 
 
+def _of_a(run: Column) -> Column:
+    """The places of a run's tokens of A; null for an empty run."""
+    return F.when(run["n"] > 0, F.sequence(run["a"], run["a"] + run["n"] - 1))
+
+
 def links() -> Column:
     """Pairs of ids, one for each overlap of a token of A with one of B: of groups of two tokens, and in the others at every end
     that one side alone has and at the shared end."""
 
     def plain(runs: Column, a: Column, b: Column) -> Column:
-        return F.flatten(F.transform(runs, lambda r: F.zip_with(F.slice(a, r["a"] + 1, r["n"]), F.slice(b, r["b"] + 1, r["n"]), _pair)))
+        pairs = lambda r: F.transform(_of_a(r), lambda i: _pair(F.get(a, i), F.get(b, i + (r["b"] - r["a"]))))
+        return F.flatten(F.filter(F.transform(runs, pairs), lambda x: x.isNotNull()))
 
     def rest(a_at: Column, b_at: Column, a: Column, b: Column) -> Column:
         return F.transform(a_at, lambda i, u: _pair(F.get(a, i), F.get(b, F.get(b_at, u))))
@@ -192,29 +253,26 @@ def links() -> Column:
 
 
 def groups_text() -> Column:
-    """The groups as text: ids of A, a bar, ids of B; groups one after another.  A run is written by the cast of its zipped ids,
-    whose marks are replaced: [{1, 2}, {3, 4}] becomes 1|2;3|4."""
+    """The groups as text, of the ids as texts in a_texts and b_texts: ids of A, a bar, ids of B; groups one after another."""
 
     def pieces(runs: Column, groups: Column, a: Column, b: Column) -> Column:
         def piece(r: Column, k: Column) -> Column:
-            zipped = F.arrays_zip(F.slice(a, r["a"] + 1, r["n"]), F.slice(b, r["b"] + 1, r["n"])).cast("string")
+            plain = F.transform(_of_a(r), lambda i: F.concat(F.get(a, i), F.lit("|"), F.get(b, i + (r["b"] - r["a"]))))
             g = F.get(groups, k)
-            ids = lambda side, c: F.array_join(F.slice(side, g[c] + 1, g[f"{c}_last"] - g[c] + 1).cast("array<string>"), ",")
-            return F.array(F.when(r["n"] > 0, zipped), F.when(g.isNotNull(), F.concat(ids(a, "a"), F.lit("|"), ids(b, "b"))))
+            ids = lambda side, c: F.array_join(F.transform(F.sequence(g[c], g[f"{c}_last"]), lambda i: F.get(side, i)), ",")
+            return F.array(F.array_join(plain, ";"), F.when(g.isNotNull(), F.concat(ids(a, "a"), F.lit("|"), ids(b, "b"))))
 
         return F.flatten(F.transform(runs, piece))
 
     # array_join leaves out nulls: empty runs, and the group that does not follow the last run
-    text = F.array_join(_with(("runs", "groups", "a_ids", "b_ids"), pieces), ";")
-    for mark, put in (("}, {", ";"), (", ", "|"), ("[{", ""), ("}]", "")):
-        text = F.replace(text, F.lit(mark), F.lit(put))
-    return text
+    return F.array_join(_with(("runs", "groups", "a_texts", "b_texts"), pieces), ";")
 
 
 def linked(found: DataFrame) -> DataFrame:
     """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): pairs are the distinct id pairs of a row, and
     times how often each is linked there."""
     rows = with_runs(with_odd(found))
+    rows = rows.select("*", *(F.col(f"{side}_ids").cast("array<string>").alias(f"{side}_texts") for side in "ab"))
     rows = rows.select("row", "doc_id", F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), F.col("n_shared").cast("bigint").alias("n_groups"),
         F.when(F.size("a_ids") > 0, F.sha2(groups_text(), 256)).otherwise("").alias("groups_sha256"), F.sort_array(links()).alias("links"))
     places = F.when(F.size("links") > 0, F.sequence(F.lit(0), F.size("links") - 1)).otherwise(F.array().cast("array<int>"))

@@ -91,3 +91,17 @@ def test_only_ends_of_one_side_are_looked_at_one_by_one(spark):
         assert r.n_shared == len(ends[0] & ends[1]) and len(r.odd) == len(ends[0] ^ ends[1])
         assert sum(x.n for x in r.runs) + len(r.groups) == r.n_shared
     assert got[0].odd == [] and got[5].odd != []
+
+
+def test_units_of_a_text_have_its_tokens():
+    """Ids by units that are shared among texts are those of the libraries on whole texts, also with odd white space."""
+    import pyarrow as pa
+
+    made = alignment.BothTokens(A, B)
+    ends = ["word", "word.", "two\nlines", "a\n\nb", "x \n y", " lead", "trail ", "line\n", "\nline", "tab\tx y", "a  b", "no break here", "far　space so", "it's we'll", "▁mark a", "", "日本 語", "\x1c sep x", "café crème\nbrûlée", "<s> </s>\n<|endoftext|>"]
+    texts = [*ends, *(f"{x} {y}" for x in ends for y in ends), *(f"{x}\n{y}" for x in ends for y in ends)]
+    (a_ids, a_at), (b_ids, b_at) = made.both(pa.array([" " + t if t else "" for t in texts], pa.large_string()))
+    for k, want in enumerate(tokenised(texts)):
+        got = a_ids[a_at[k] : a_at[k + 1]].tolist(), b_ids[b_at[k] : b_at[k + 1]].tolist()
+        assert got == (([], []) if want is None else (want[0], want[2])), texts[k]
+    assert made.cuts and len(made.slots) < sum(len(t.split()) for t in texts)
