@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import dealt_again
+
 #: Result rows in a batch.
 BATCH = 8192
 
 
 def fold_groups(rows: DataFrame, by: list[str], order: list[str], fold: Callable[[tuple, list[dict]], list[dict]], schema: StructType | str) -> DataFrame:
     """The rows that fold makes of each group, given its key and its rows in order; a null key is a group too."""
-    made = rows.sparkSession.createDataFrame([], schema).schema
+    made = dealt_again(rows.sparkSession).createDataFrame([], schema).schema
     fields = to_arrow_schema(made)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict]]:

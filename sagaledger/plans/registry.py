@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import dealt_again
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -15,7 +18,7 @@ _ORACLES: dict[str, str] = {}
 def register(name: str, query: Query, oracle: str | None = None) -> None:
     if name in _QUERIES:
         raise ValueError(f"two queries are named {name}")
-    _QUERIES[name] = query
+    _QUERIES[name] = wraps(query)(lambda spark, sf_dir: query(dealt_again(spark), sf_dir))
     if oracle is not None:
         _ORACLES[name] = oracle
 

@@ -1,4 +1,8 @@
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from sagaledger.operators import entities, folds
+from sagaledger.operators._grouped import fold_groups
 
 SCHEMA = "id bigint, conv_id string, position int, turn int, subject string, subject_type string, predicate string, object string, object_type string, value string, polarity string, modality string, source string, asserted_by string, knowledge string, hidden_from array<string>, outcome string, because string"
 
@@ -120,3 +124,19 @@ def test_resolve_over_conversations(spark):
 def test_name_parts_and_romanization():
     assert entities.name_parts("한서윤") == ["서윤"] and entities.name_parts("Kim Hana") == ["Kim", "Hana"] and entities.name_parts("Jo") == []
     assert entities.romanized("서윤") == "seoyun" and entities.romanized("Hana") == "Hana"
+
+
+def test_folds_over_a_union_hold_when_its_sides_are_merged_differently(spark):
+    # Both sides are dealt by conversation before, the second has far fewer rows, and adaptive execution merges small partitions.
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    counted = lambda n: spark.range(n).select((F.col("id") % 500).alias("conv_id"), F.sha2(F.col("id").cast("string"), 256).alias("x")).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("x")))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        made = fold_groups(counted(20000).unionByName(counted(1000)), ["conv_id"], ["n"], lambda key, rows: [{"conv_id": key[0], "n": len(rows)}], "conv_id bigint, n int")
+        got = [(r.conv_id, r.n) for r in made.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == [(c, 42) for c in range(500)]
