@@ -428,10 +428,11 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", fx.estimated_tokens(F.col("text")).alias("tokens"))
 
 
-#: Of the markup that the pages have: what goes with its content, declarations, elements that end a line, other tags, entities.
+#: Of the markup that the pages have: what goes with its content, declarations, elements that end a line, other tags, entities.  HTML
+#: reads these four entities without their semicolon too, as where a cut page ends; no other name but copysr begins with one of them.
 CLEANED = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '<![^>]*>', '', 'g'), '(?i)</?(br|p|div|li|tr|h[1-6]|details|summary|table|section)(\s[^<>]*)?/?>', chr(10), 'g'), '</?[a-zA-Z][^<>]*>', '', 'g') AS t FROM a),
-c AS (SELECT page_id, regexp_replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM b)
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(t, '&copysr;', '℗'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM b)
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(l, '[ \t\x{A0}]+', ' ', 'g'), ' ')), lambda l: l <> ''), chr(10)) AS text FROM c"""
 
 
