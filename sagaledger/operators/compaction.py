@@ -8,6 +8,8 @@ observation its base alone is read.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .ledger import positional_diff
 
 #: Share of changed rows above which an observation is kept whole.
 RATIO = 0.25
+#: Rounds after which what has been found is stored as one table, so that no plan grows with the rounds.
+UNIONS = 16
 
 
 def is_checkpoint(base: Column, now: Column) -> Column:
@@ -24,26 +28,39 @@ def is_checkpoint(base: Column, now: Column) -> Column:
 
 def bases(observations: DataFrame) -> DataFrame:
     """(conv_id, obs_id) of the observations that are kept whole.  observations: conv_id, obs_id (in order), entries (array)."""
-    rows = held(observations.select("conv_id", "obs_id", "entries"))
-    last = held(rows.groupBy("conv_id").agg(F.min("obs_id").alias("obs_id")))
-    out = last
-    while True:
-        base = last.join(rows, ["conv_id", "obs_id"]).select("conv_id", F.col("obs_id").alias("_b"), F.col("entries").alias("_e"))
-        behind = rows.join(base, "conv_id").filter(F.col("obs_id") > F.col("_b"))
-        last = held(behind.filter(is_checkpoint(F.col("_e"), F.col("entries"))).groupBy("conv_id").agg(F.min("obs_id").alias("obs_id")))
+    return _bases(held(observations.select("conv_id", "obs_id", "entries"))).select("conv_id", F.col("_b").alias("obs_id"))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """(conv_id, _b, _e): number and entries of each chat's first observation."""
+    return held(rows.groupBy("conv_id").agg(F.min("obs_id").alias("_b"), F.min_by("entries", "obs_id").alias("_e")))
+
+
+def _bases(rows: DataFrame) -> DataFrame:
+    """(conv_id, _b, _e): the observations that are kept whole, with their entries.
+
+    Arrays are larger than the planner takes them for, so what holds them is never sent to the driver: joins are by sorting.
+    """
+    last = out = _first(rows)
+    for n in count(1):
+        behind = rows.join(last.hint("merge"), "conv_id").filter(F.col("obs_id") > F.col("_b"))
+        last = _first(behind.filter(is_checkpoint(F.col("_e"), F.col("entries"))))
         if last.isEmpty():
             return out
-        out = held(out.unionByName(last))
+        out = out.unionByName(last)
+        if n % UNIONS == 0:
+            out = held(out)
 
 
 def compacted(observations: DataFrame) -> DataFrame:
     """(conv_id, obs_id, base_id, length, changed, entries): entries and no base for what is kept whole, else changed, the
     (at, value) of rows that differ from those of base_id."""
-    marked = observations.join(bases(observations).withColumn("_whole", F.lit(True)), ["conv_id", "obs_id"], "left")
+    rows = held(observations.select("conv_id", "obs_id", "entries"))
+    whole = _bases(rows)
+    marked = rows.join(whole.select("conv_id", F.col("_b").alias("obs_id"), F.lit(True).alias("_whole")).hint("merge"), ["conv_id", "obs_id"], "left")
     upto = Window.partitionBy("conv_id").orderBy("obs_id").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("_base", F.last(F.when(F.col("_whole"), F.col("obs_id")), ignorenulls=True).over(upto))
-    whole = marked.filter("_whole").select("conv_id", F.col("obs_id").alias("_base"), F.col("entries").alias("_e"))
-    rows = marked.join(whole, ["conv_id", "_base"])
+    rows = marked.join(whole.withColumnRenamed("_b", "_base").hint("merge"), ["conv_id", "_base"])
     kept = F.coalesce("_whole", F.lit(False))
     return rows.select("conv_id", "obs_id", F.when(~kept, F.col("_base")).alias("base_id"), F.size("entries").alias("length"), F.when(~kept, positional_diff(F.col("_e"), F.col("entries"))).alias("changed"), F.when(kept, F.col("entries")).alias("entries"))
 
@@ -59,5 +76,5 @@ def patched(base: Column, changed: Column, length: Column) -> Column:
 def rebuilt(rows: DataFrame) -> DataFrame:
     """(conv_id, obs_id, entries) of what compacted() made."""
     whole = rows.filter("base_id IS NULL").select("conv_id", F.col("obs_id").alias("base_id"), F.col("entries").alias("_e"))
-    back = rows.filter("base_id IS NOT NULL").drop("entries").join(whole, ["conv_id", "base_id"])
+    back = rows.filter("base_id IS NOT NULL").drop("entries").join(whole.hint("merge"), ["conv_id", "base_id"])
     return rows.filter("base_id IS NULL").select("conv_id", "obs_id", "entries").unionByName(back.select("conv_id", "obs_id", patched(F.col("_e"), F.col("changed"), F.col("length")).alias("entries")))

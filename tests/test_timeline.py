@@ -169,6 +169,16 @@ def test_compaction_rebuilds_every_observation(spark):
     assert len(held_rows) == len(rows)
 
 
+def test_compaction_sends_no_manifests_to_the_driver(spark):
+    from sagaledger.operators import compaction
+
+    obs = spark.range(6).selectExpr("1 AS conv_id", "id AS obs_id", "transform(sequence(0, 7), i -> IF(i % 2 = 0 AND id >= 3, 'x', 'a') || i) AS entries")
+    rows = compaction.compacted(obs)
+    for made in (rows, compaction.rebuilt(rows)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.obs_id, r.base_id) for r in rows.collect()} == {(0, None), (1, 0), (2, 0), (3, None), (4, 3), (5, 3)} and compaction.rebuilt(rows).exceptAll(obs).isEmpty()
+
+
 def variants_by_hand(names, persona, marked, text):
     """Request by request and name by name."""
     import re
