@@ -131,3 +131,17 @@ def test_hidden_facts_causes_and_first_cues(spark):
     assert ids("where did Hana go") == [2, 1, 4], "a cause stands below what it caused"
     assert ids("how did Hana come", first=True) == [1, 2, 4], "the earliest of equals first"
     assert ids("nothing", "Bo was here") == [] and ids("what does Bo want") == [3], "what is hidden needs the message itself"
+
+
+def asked_and_told(spark):
+    """Six requests of which three ask the same, and facts of their chat, from tables whose size the planner knows."""
+    asked = spark.range(6).selectExpr("id AS request_id", "1L AS conv_id", "IF(id % 2 = 0, 'where is Hana', 'and Jun?') AS query", "CAST(NULL AS STRING) AS reply")
+    told = spark.range(20).selectExpr("1L AS conv_id", "id", "'has_status' AS predicate", "array(IF(id % 2 = 0, 'Hana', 'Jun')) AS names", "'ill since ' || id AS text", "id AS position")
+    return asked, told
+
+
+def test_fact_relevance_joins_nothing_in_the_driver_and_answers_all_who_ask_the_same(spark):
+    asked, told = asked_and_told(spark)
+    rows = retrieval.relevant_facts(asked, told, limit=3)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.request_id, r.id, r.rank) for r in rows.collect()} == {(q, 18 + q % 2 - 2 * n, n + 1) for q in range(6) for n in range(3)}
