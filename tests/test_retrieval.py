@@ -145,3 +145,11 @@ def test_fact_relevance_joins_nothing_in_the_driver_and_answers_all_who_ask_the_
     rows = retrieval.relevant_facts(asked, told, limit=3)
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert {(r.request_id, r.id, r.rank) for r in rows.collect()} == {(q, 18 + q % 2 - 2 * n, n + 1) for q in range(6) for n in range(3)}
+
+
+def test_thread_relevance_joins_nothing_in_the_driver_and_answers_all_who_ask_the_same(spark):
+    asked, told = asked_and_told(spark)
+    threads = told.selectExpr("conv_id", "id", "text", "names[0] AS by", "CAST(NULL AS STRING) AS to", "id AS turn", "'open' AS status")
+    rows = retrieval.relevant_threads(asked, threads, limit=3)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {(r.request_id, r.id, r.mention, r.rank) for r in rows.collect()} == {(q, 18 + q % 2 - 2 * n, 2, n + 1) for q in range(6) for n in range(3)}
