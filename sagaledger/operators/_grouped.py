@@ -20,8 +20,11 @@ from ..session import dealt_again
 BATCH = 8192
 
 
-def fold_groups(rows: DataFrame, by: list[str], order: list[str], fold: Callable[[tuple, list[dict]], list[dict]], schema: StructType | str) -> DataFrame:
-    """The rows that fold makes of each group, given its key and its rows in order; a null key is a group too."""
+def fold_groups(rows: DataFrame, by: list[str], order: list[str], fold: Callable[[tuple, list[dict]], list[dict]], schema: StructType | str, reads: list[str] | None = None) -> DataFrame:
+    """The rows that fold makes of each group, given its key and its rows in order; a null key is a group too.
+
+    reads: the columns that fold looks at besides the key, if not all; others only give the order.
+    """
     made = dealt_again(rows.sparkSession).createDataFrame([], schema).schema
     fields = to_arrow_schema(made)
 
@@ -39,4 +42,5 @@ def fold_groups(rows: DataFrame, by: list[str], order: list[str], fold: Callable
                 out = []
         yield pa.RecordBatch.from_pylist(out, schema=fields)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, made)
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order)
+    return (dealt if reads is None else dealt.select(*by, *reads)).mapInArrow(run, made)

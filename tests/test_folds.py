@@ -1,3 +1,6 @@
+import datetime as dt
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -140,3 +143,22 @@ def test_folds_over_a_union_hold_when_its_sides_are_merged_differently(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(got) == [(c, 42) for c in range(500)]
+
+
+def test_resolve_equals_one_conversation_at_a_time_and_makes_no_frame_for_each(spark):
+    rng = random.Random(7)
+    names = ["Hana", "hana ", "Jun", "JUN", "Kim Hana", "?", "", None, "Straße", "STRASSE"]
+    rows = []
+    for k in range(600):
+        more = {"conv_id": f"c{k % 12}", "object": rng.choice(names), "object_type": rng.choice([None, "item"]), "subject_type": rng.choice([None, "character", "item"]), "polarity": rng.choice(["positive", "negative", None]), "asserted_by": rng.choice(names), "modality": rng.choice(["actual", "", None, "dreamed"])}
+        rows.append(row(k, rng.randrange(9), rng.choice(names), rng.choice(["also_called", "has_status"]), rng.choice(names), source=rng.choice(["narration", "character_claim", None]), **more))
+    links = [(f"c{rng.randrange(14)}", k, rng.choice(["link", "split"]), rng.choice([None, "item"]), rng.choice(names[:5]), rng.choice(names[:5]), dt.datetime(2024, 1, rng.randrange(1, 9))) for k in range(60)]
+    owner = spark.createDataFrame(links, "conv_id string, id bigint, kind string, type string, name string, other string, created_at timestamp")
+    made = entities.resolve(table(spark, rows), owner)
+    want = []
+    for conv in sorted({r["conv_id"] for r in rows}):
+        mine = sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: (r["position"], r["id"]))
+        said = [dict(zip(owner.columns, o)) for o in links if o[0] == conv]
+        want += [{"conv_id": conv, **r} for r in entities.resolve_conversation(conv, mine, said)]
+    assert sorted((tuple(r[c] for c in made.columns) for r in made.collect()), key=repr) == sorted((tuple(r[c] for c in made.columns) for r in want), key=repr)
+    assert "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
