@@ -52,14 +52,15 @@ def memory_view(assertions: DataFrame, owner_links: DataFrame, repairs: DataFram
         live = serving.overlay_in_force(repairs, at)
         rows = serving.overlaid(rows, live, "id")
     found = entities.resolve(rows, owner_links)
+    # Names and versions grow with the chats, so they are joined by sorting and never sent to the driver.
     known = found.filter("entity_id is not null").select("conv_id", F.col("type").alias("_t"), fact_norm(F.col("name")).alias("_n"), "entity_name")
     known = known.groupBy("conv_id", "_t", "_n").agg(F.min("entity_name").alias("entity_name"))
     for side in ("subject", "object"):
         kind = F.coalesce(F.col(f"{side}_type"), F.lit("character"))
-        named = rows.withColumn("_t", kind).withColumn("_n", fact_norm(F.col(side))).join(known, ["conv_id", "_t", "_n"], "left")
+        named = rows.withColumn("_t", kind).withColumn("_n", fact_norm(F.col(side))).join(known.hint("merge"), ["conv_id", "_t", "_n"], "left")
         rows = named.withColumn(side, F.when(F.col(side).isNotNull(), F.coalesce("entity_name", side))).drop("_t", "_n", "entity_name")
     folded = folds.versions(rows)
-    facts = rows.join(folded.select("conv_id", "id", "key", F.col("outcome").alias("standing"), "closed_turn", "disputed"), ["conv_id", "id"])
+    facts = rows.join(folded.select("conv_id", "id", "key", F.col("outcome").alias("standing"), "closed_turn", "disputed").hint("merge"), ["conv_id", "id"])
     return {
         "facts": facts.filter("standing = 'current'"), "history": facts, "claims": folds.claims(rows), "entities": found,
         "ambiguous": found.filter("ambiguous"), "secrets": folds.secrets_open(rows), "threads": folds.threads(rows),

@@ -25,6 +25,17 @@ def test_memory_view_folds_over_resolved_names(spark):
     assert {r.value for r in memory.memory_view(rows, owner, upto=2)["facts"].filter("predicate = 'has_status'").collect()} == {"ill"}
 
 
+def test_memory_view_makes_no_frame_for_each_chat_and_joins_nothing_in_the_driver(spark):
+    owner = spark.createDataFrame([], "conv_id bigint, id bigint, kind string, type string, name string, other string, created_at timestamp")
+    null = ("object", "object_type", "asserted_by", "outcome", "knowledge", "because")
+    rows = spark.range(40).selectExpr("id", "id % 4 AS conv_id", "id AS position", "CAST(id AS INT) AS turn", "IF(id < 20, 'Hana', 'hana') AS subject", "'character' AS subject_type", "'has_status' AS predicate", "CAST(id AS STRING) AS value",
+        "'positive' AS polarity", "'actual' AS modality", "'narration' AS source", *[f"CAST(NULL AS STRING) AS {c}" for c in null], "CAST(NULL AS ARRAY<STRING>) AS hidden_from")
+    facts = memory.memory_view(rows, owner)["facts"]
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "InPandas" not in plan
+    assert {(r.conv_id, r.id, r.subject) for r in facts.collect()} == {(c, 36 + c, "Hana") for c in range(4)}
+
+
 def test_only_what_is_not_restated_is_dropped(spark):
     old = table(spark, [row(1, 1, "Hana", "has_trait", "likes the old harbor"), row(2, 1, "Hana", "goal", "find the map"), row(3, 1, "Jun", "goal", "cook")])
     new = table(spark, [row(4, 1, "hana", "has_trait", "likes the old harbour"), row(5, 1, "Hana", "goal", "Find the map")])
